@@ -27,7 +27,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        given = sc.getConf().get("spark.checkpoint.dir")
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if given is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="termloom-"))

@@ -5,6 +5,9 @@ the cumulative weights, names the source of the slot. Slots are ranked within th
 by hash and cut into blocks of ``block_tokens`` tokens, and slot rank ``r`` takes block ``r mod blocks`` in epoch
 ``r div blocks``. Every stretch of the schedule is therefore close to the target weights, not only its whole.
 
+The schedule ends with the slot in which the last source has used all its blocks once, so no document is left out;
+sources above their share of the tokens set the length, the others repeat. A ``budget`` ends it elsewhere.
+
 Ranks and token offsets are two-level prefix sums (``spread_rank``): a hot source is spread over all tasks. Only the
 totals by source go to the driver; their number is checked against ``MAX_SOURCES``.
 """
@@ -45,8 +48,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     """Schedule of ``docs``: (slot, source, epoch, block, offset, doc_id, n_tokens), and ``row`` with ``carry``.
 
     ``weights``: target share by source; sources that it lacks get no slot. Without it a source of t tokens weighs
-    t**alpha. ``budget``: tokens to schedule, by default as many as there are. A source short of tokens repeats its
-    blocks up to ``max_epochs`` times and leaves later slots empty; one with more than its share leaves blocks out.
+    t**alpha. ``budget``: tokens to schedule, by default as many as it takes to use every block of every weighted source;
+    with a smaller budget a source leaves blocks out. A source short of tokens repeats its blocks up to ``max_epochs``
+    times and leaves later slots empty.
     A document goes whole into the block in which it starts; a token is a word.
 
     A null source is the source ''. A null or empty text has no tokens and shares the slot of its neighbour in the
@@ -68,8 +72,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
         return spark.createDataFrame([], schema) if not carry else base.filter(F.lit(False)).select(*[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in schema.split(", ")], "row")
     stop = thresholds([weights[s.source] if weights is not None else float(s.t) ** alpha for s in stats])
     names = np.array([s.source for s in stats], dtype=object)
-    total = sum(s.t for s in stats) if budget is None else budget
-    slots = -(-total // block_tokens)
+    share = np.diff(stop, prepend=0) / 2.0**BITS
+    need = [-(-s.t // block_tokens) for s in stats]
+    # An interval's count of points strays from its share by far less than 16 at any length that can be reached.
+    slots = -(-budget // block_tokens) if budget is not None else max(int(np.ceil((n + 16) / w)) for n, w in zip(need, share) if w > 0)
     up = 60 - max(1, int(slots).bit_length())
 
     def lay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,6 +86,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     blocks = spark.createDataFrame([(s.source, -(-s.t // block_tokens)) for s in stats], "source string, _n bigint")
     lane = spark.range(slots).mapInPandas(lay, "slot bigint, source string, _k bigint")
     lane = spread_rank(lane, ["source"], ["_k"], F.lit(1), "_r", _pow2(slots / 65536), "_k").join(blocks, "source")
+    if budget is None:
+        last = lane.filter(F.col("_r") == F.col("_n") - 1).agg(F.max("slot").alias("_last"))
+        lane = lane.crossJoin(last).filter(F.col("slot") <= F.col("_last"))
     lane = lane.select("slot", "source", (F.col("_r") % F.col("_n")).alias("block"), F.floor(F.col("_r") / F.col("_n")).alias("epoch")).filter(F.col("epoch") < max_epochs)
     laid = spread_rank(base, ["source"], ["_h", "_d"], F.col("n_tokens"), "_s", _pow2(sum(s.c for s in stats) / 200_000), "_h").join(blocks, "source")
     laid = laid.withColumn("block", F.least(F.floor(F.col("_s") / block_tokens), F.col("_n") - 1)).withColumn("offset", F.col("_s") - F.col("block") * block_tokens)
@@ -96,8 +105,9 @@ w AS (SELECT source, b, row_number() OVER (ORDER BY source) AS k, sum(pow(t::DOU
 c AS (SELECT source, b, CASE WHEN k = max(k) OVER () THEN 1099511627776 ELSE CAST(floor(cum * 1099511627776e0) AS BIGINT) END AS stop FROM w),
 c2 AS (SELECT source, b, stop, coalesce(lag(stop) OVER (ORDER BY source), 0) AS begin FROM c),
 p AS (SELECT i AS slot, CAST(((i + 1)::HUGEINT * 11400714819323198485::HUGEINT % 18446744073709551616::HUGEINT) // 16777216 AS BIGINT) AS u
-      FROM range((SELECT CAST(ceil(sum(t) / 16384e0) AS BIGINT) FROM s)) r(i)),
-l AS (SELECT slot, source, b, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS r FROM p JOIN c2 ON u >= begin AND u < stop),
+      FROM range((SELECT CAST(max(ceil((b + 16) / ((stop - begin) / 1099511627776e0))) AS BIGINT) FROM c2)) r(i)),
+l0 AS (SELECT slot, source, b, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS r FROM p JOIN c2 ON u >= begin AND u < stop),
+l AS (SELECT * FROM l0 WHERE slot <= (SELECT max(slot) FROM l0 WHERE r = b - 1)),
 o AS (SELECT d.*, sum(n) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - n AS st FROM d),
 k AS (SELECT o.*, least(CAST(st AS BIGINT) // 16384, s.b - 1) AS block FROM o JOIN s USING (source))
 SELECT slot, k.source, CAST(r // b AS BIGINT) AS epoch, CAST(k.block AS BIGINT) AS block, CAST(st - k.block * 16384 AS BIGINT) AS "offset", doc_id, CAST(n AS BIGINT) AS n_tokens
