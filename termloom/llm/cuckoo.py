@@ -129,22 +129,26 @@ def _digested(docs: DataFrame, digest_bytes: int, *more) -> DataFrame:
     return documents(docs, *more).withColumn("_g", g)
 
 
-def exact(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
-    """One row for each row of ``docs``: (doc_id, dup_of, kept, _g); the least doc_id of equal texts is kept."""
+def _marked(docs: DataFrame, digest_bytes: int) -> DataFrame:
+    """(_d, _g, _first, kept, _n) for each row; ``_n``: rows with that id, digest and text. Texts of one digest that differ are told apart."""
     thin = cut(_digested(docs, digest_bytes).select("_d", "_g"))
-    n = thin.count()
     with_text = thin.filter(F.col("_g") != F.lit(b""))
-    buckets = 1 << max(0, int(np.ceil(np.log2(max(1, n / PER_BUCKET)))))
+    buckets = 1 << max(0, int(np.ceil(np.log2(max(1, thin.count() / PER_BUCKET)))))
     seen = cut(apply_events(with_text.select(F.col("_d").alias("_seq"), F.lit("+").alias("_op"), "_d", "_g"), buckets))
-    # A second row of the same id and text is a duplicate of the first: rows of an id are numbered.
-    hits = seen.filter(F.col("_d") != F.col("_first")).groupBy("_g", "_d", "_first").count()
+    hits = seen.groupBy("_g").count().filter("count > 1").select("_g")
     text = _digested(docs, digest_bytes).filter(F.col("text").isNotNull())
-    held = hits.select("_g", F.col("_first").alias("_d")).distinct()
-    mine = hits.select("_g", "_d").union(held).distinct()
-    texts = text.join(mine, ["_d", "_g"], "left_semi").groupBy("_d", "_g").agg(F.min("text").alias("_a"), F.count_distinct("text").alias("_k"))
-    pair = hits.join(texts, ["_d", "_g"]).join(texts.select(F.col("_d").alias("_first"), "_g", F.col("_a").alias("_o"), F.col("_k").alias("_m")), ["_first", "_g"])
-    odd = pair.filter((F.col("_a") != F.col("_o")) | (F.col("_k") > 1) | (F.col("_m") > 1)).select("_g").distinct()
-    return thin, seen, text, odd
+    odd = cut(text.join(hits, "_g", "left_semi").groupBy("_g").agg(F.min("text").alias("_a"), F.max("text").alias("_z")).filter("_a <> _z").select("_g"))
+    own = Window.partitionBy("_g", "_d")
+    plain = seen if odd.isEmpty() else seen.join(odd, "_g", "left_anti")
+    plain = plain.withColumn("_r", F.row_number().over(own.orderBy("_seq"))).withColumn("_n", F.count("*").over(own))
+    out = plain.select("_d", "_g", "_first", ((F.col("_d") == F.col("_first")) & (F.col("_r") == 1)).alias("kept"), "_n", F.lit(None).cast("string").alias("_text"))
+    if not odd.isEmpty():
+        same = Window.partitionBy("_g", "text")
+        rest = text.join(odd, "_g", "left_semi").withColumn("_first", F.min("_d").over(same)).withColumn("_r", F.row_number().over(same.orderBy("_d")))
+        rest = rest.withColumn("_n", F.count("*").over(Window.partitionBy("_g", "text", "_d")))
+        out = out.unionByName(rest.select("_d", "_g", "_first", (F.col("_r") == 1).alias("kept"), "_n", F.col("text").alias("_text")))
+    nulls = thin.filter(F.col("_g") == F.lit(b""))
+    return out.unionByName(nulls.select("_d", "_g", F.col("_d").alias("_first"), F.lit(True).alias("kept"), F.lit(1).cast("bigint").alias("_n"), F.lit(None).cast("string").alias("_text")))
 
 
 def duplicates(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
@@ -155,34 +159,21 @@ def duplicates(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     Different texts under one id are told apart. An empty table gives no rows. Further columns are not read.
     ``digest_bytes``: below 16 only to force collisions in tests.
     """
-    rows = _marked(docs, digest_bytes)
-    return rows.select(doc_id(), F.when(~F.col("kept"), doc_id("_first")).alias("dup_of"), "kept")
-
-
-def _marked(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
-    thin, seen, text, odd = exact(docs, digest_bytes)
-    nulls = thin.filter(F.col("_g") == F.lit(b"")).select("_d", "_g", F.col("_d").alias("_first"), F.lit(True).alias("kept"), F.lit(0).cast("bigint").alias("_t"))
-    odd = cut(odd)
-    w = Window.partitionBy("_g", "_d").orderBy("_seq")
-    plain = seen.join(odd, "_g", "left_anti").withColumn("_r", F.row_number().over(w))
-    plain = plain.select("_d", "_g", "_first", ((F.col("_d") == F.col("_first")) & (F.col("_r") == 1)).alias("kept"), F.lit(0).cast("bigint").alias("_t"))
-    if odd.isEmpty():
-        return plain.unionByName(nulls)
-    # Different texts of one digest: by content.
-    same = Window.partitionBy("_g", "text")
-    rest = text.join(odd, "_g", "left_semi").withColumn("_first", F.min("_d").over(same)).withColumn("_r", F.row_number().over(same.orderBy("_d")))
-    rest = rest.select("_d", "_g", "_first", (F.col("_r") == 1).alias("kept"), F.xxhash64("text").alias("_t"))
-    return plain.unionByName(rest).unionByName(nulls)
-
-
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each text, all its columns as they were; rows without a text stay."""
-    marked = _marked(docs)
-    odd = marked.filter(F.col("_t") != 0).select("_g").distinct()
-    kept = marked.filter("kept").groupBy("_d", "_g").agg(F.count("*").alias("_n"))
-    full = _digested(docs, 16, F.struct("*").alias("row"))
-    w = Window.partitionBy("_d", "_g").orderBy(F.lit(1))
-    return full.join(kept, ["_d", "_g"]).withColumn("_r", F.row_number().over(w)).filter((F.col("_r") <= F.col("_n")) | (F.col("_g") == F.lit(b""))).select("row.*")
+    return _marked(docs, digest_bytes).select(doc_id(), F.when(~F.col("kept"), doc_id("_first")).alias("dup_of"), "kept")
+
+
+def deduplicated(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
+    """``docs`` with one row of each text, all its columns as they were; rows without a text stay.
+
+    Of equal texts the least doc_id stays (null is the least); of rows that repeat id and text any one.
+    """
+    kept = cut(_marked(docs, digest_bytes).filter("kept").select("_d", "_g", "_n", "_text"))
+    full = _digested(docs, digest_bytes, F.struct("*").alias("row")).alias("f")
+    out = full.join(kept.dropDuplicates(["_d", "_g", "_text"]).alias("k"), ["_d", "_g"]).filter(F.col("k._text").isNull() | (F.col("k._text") == F.col("f.text")))
+    if kept.filter("_n > 1").isEmpty():  # no row repeats both
+        return out.select("row.*")
+    w = Window.partitionBy("_d", "_g", "f.text").orderBy(F.lit(1))
+    return out.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) | (F.col("_g") == F.lit(b""))).select("row.*")
 
 
 SQL = """

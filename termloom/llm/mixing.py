@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, doc_id, documents, hash60, spread_rank, words
+from ._common import NO_ID, cut, doc_id, documents, hash60, spread_rank, words
 
 PHI = 11400714819323198485  # 2**64 divided by the golden ratio, odd
 BITS = 40
@@ -44,8 +44,8 @@ def _pow2(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_tokens: int = 16384, budget: int | None = None, max_epochs: int = 4, seed: str = "mix", carry: bool = False) -> DataFrame:
-    """Schedule of ``docs``: (slot, source, epoch, block, offset, doc_id, n_tokens), and ``row`` with ``carry``.
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_tokens: int = 16384, budget: int | None = None, max_epochs: int = 4, seed: str = "mix") -> DataFrame:
+    """Schedule of ``docs``: (slot, source, epoch, block, offset, doc_id, n_tokens).
 
     ``weights``: target share by source; sources that it lacks get no slot. Without it a source of t tokens weighs
     t**alpha. ``budget``: tokens to schedule, by default as many as it takes to use every block of every weighted source;
@@ -55,21 +55,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
 
     A null source is the source ''. A null or empty text has no tokens and shares the slot of its neighbour in the
     shuffle; a source without any token gets no slot. A null doc_id is kept as null. Repeated rows are scheduled
-    each. An empty table gives no rows. Further columns are not read, whatever their names; ``carry`` adds them all
-    in the struct ``row``.
+    each. An empty table gives no rows. Further columns are not read, whatever their names.
     """
+    return _scheduled(docs, weights, alpha, block_tokens, budget, max_epochs, seed).select("slot", "source", "epoch", "block", "offset", doc_id(), "n_tokens")
+
+
+def _scheduled(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_tokens: int = 16384, budget: int | None = None, max_epochs: int = 4, seed: str = "mix") -> DataFrame:
+    """The schedule with ``_d`` and ``_h``, the hash of id and text, for the id."""
     spark = docs.sparkSession
-    base = documents(docs, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), *([F.struct("*").alias("row")] if carry else []))
-    base = base.select("_d", "source", words(F.col("text")).alias("n_tokens"), hash60(F.lit(seed), F.when(F.col("_d") != -(2**63), F.col("_d")), "text").alias("_h"), *(["row"] if carry else []))
-    if not carry:
-        base = cut(base)
+    base = cut(_hashed(docs, seed).select("_d", "source", words(F.col("text")).alias("n_tokens"), "_h"))
     stats = base.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c")).orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources; mix by a coarser column")
     stats = [s for s in stats if s.t > 0 and (weights is None or weights.get(s.source, 0) > 0)]
-    schema = "slot bigint, source string, epoch bigint, block bigint, offset bigint, doc_id bigint, n_tokens bigint"
     if not stats:
-        return spark.createDataFrame([], schema) if not carry else base.filter(F.lit(False)).select(*[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in schema.split(", ")], "row")
+        return spark.createDataFrame([], "slot bigint, source string, epoch bigint, block bigint, offset bigint, _d bigint, _h bigint, n_tokens bigint")
     stop = thresholds([weights[s.source] if weights is not None else float(s.t) ** alpha for s in stats])
     names = np.array([s.source for s in stats], dtype=object)
     share = np.diff(stop, prepend=0) / 2.0**BITS
@@ -92,7 +92,30 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     lane = lane.select("slot", "source", (F.col("_r") % F.col("_n")).alias("block"), F.floor(F.col("_r") / F.col("_n")).alias("epoch")).filter(F.col("epoch") < max_epochs)
     laid = spread_rank(base, ["source"], ["_h", "_d"], F.col("n_tokens"), "_s", _pow2(sum(s.c for s in stats) / 200_000), "_h").join(blocks, "source")
     laid = laid.withColumn("block", F.least(F.floor(F.col("_s") / block_tokens), F.col("_n") - 1)).withColumn("offset", F.col("_s") - F.col("block") * block_tokens)
-    return laid.join(lane, ["source", "block"]).select("slot", "source", "epoch", "block", "offset", doc_id(), "n_tokens", *(["row"] if carry else []))
+    return laid.join(lane, ["source", "block"]).select("slot", "source", "epoch", "block", "offset", "_d", "_h", "n_tokens")
+
+
+def _hashed(docs: DataFrame, seed: str, *more) -> DataFrame:
+    d = documents(docs, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), *more)
+    return d.withColumn("_h", hash60(F.lit(seed), F.when(F.col("_d") != NO_ID, F.col("_d")), "text"))
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_tokens: int = 16384, budget: int | None = None, max_epochs: int = 4, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs``, all columns as they were, each as often as ``mix`` schedules it.
+
+    A source whose texts have no token at all has no block to schedule: its rows stay, once, where ``weights`` doesn't
+    leave the source out.
+    """
+    slots = _scheduled(docs, weights, alpha, block_tokens, budget, max_epochs, seed)
+    times = slots.groupBy("source", "_h", "_d", "offset", "block").count()  # rows that repeat lie in places of their own
+    times = times.groupBy("source", "_h", "_d").agg(F.sum("count").alias("_t"), F.count("*").alias("_rows"))
+    full = _hashed(docs, seed, F.struct("*").alias("row"))
+    silent = full.groupBy("source").agg(F.sum(words(F.col("text"))).alias("_w")).filter("_w = 0").select("source")
+    if weights is not None:
+        silent = silent.filter(F.col("source").isin([k for k, w in weights.items() if w > 0]))
+    out = full.join(times, ["source", "_h", "_d"]).withColumn("_k", F.ceil(F.col("_t") / F.col("_rows")).cast("int"))
+    out = out.select("row", F.explode(F.sequence(F.lit(1), "_k")).alias("_k")).select("row.*")
+    return out.unionByName(full.join(silent, "source", "left_semi").select("row.*"))
 
 
 SQL = r"""
