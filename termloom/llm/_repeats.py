@@ -105,7 +105,7 @@ def scatter(bucket: np.ndarray, x: np.ndarray, y: np.ndarray | None, k: np.ndarr
     """A row for each bucket, the arrays' parts as bytes in the order given."""
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    cuts = np.append(np.flatnonzero(np.diff(b, prepend=-1)), len(b))
+    cuts = np.append(np.flatnonzero(np.diff(b, prepend=b[:1] - 1)), len(b)) if len(b) else np.zeros(1, np.int64)
     x, k, p = x[order], k[order], p[order]
     y = x[:0] if y is None else y[order]
     return pd.DataFrame([(b[i], j - i, x[i:j].tobytes(), y[i:j].tobytes(), k[i:j].tobytes(), p[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:])], columns=["_b", "_n", "_x", "_y", "_ks", "_ps"])

@@ -1,0 +1,105 @@
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+
+from termloom.llm import jaccard
+
+WORD = re.compile(r"[^ \t\n\r\f\x0B]+")
+
+
+def sets(rows, n=3):
+    out = {}
+    for d, t, *_ in rows:
+        w = WORD.findall(t or "")
+        if w:
+            out[d if d is not None else -(2**63), t] = frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
+    return out
+
+
+def brute(rows, t, n=3):
+    by = defaultdict(set)
+    for (d, _), s in sets(rows, n).items():
+        by[s].add(d)
+    name = lambda d: None if d == -(2**63) else d
+    out = {(name(min(ds)), name(d), len(s), 1.0) for s, ds in by.items() for d in ds if d != min(ds)}
+    every = list(by)
+    for i, a in enumerate(every):
+        for b in every[:i]:
+            o = len(a & b)
+            if o >= t * (len(a) + len(b) - o):
+                x, y = sorted((min(by[a]), min(by[b])))
+                out.add((name(x), name(y), o, round(o / (len(a) + len(b) - o), 6)))
+    return out
+
+
+def groups(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b, *_ in pairs:
+        a, b = (-(2**63) if x is None else x for x in (a, b))
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_same_as_brute_force(docs, prose):
+    got = [tuple(r) for r in jaccard.similar(docs(prose), routes=12).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(prose, 0.5)
+
+
+def test_recall_on_many_pairs(docs):
+    """Of pairs at and above the threshold, at least nine in ten are found with the usual routes; none is found that shouldn't."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(150):
+        base = [f"v{rng.randrange(3000)}" for _ in range(80)]
+        for j in range(2):
+            w = list(base)
+            for _ in range(rng.randint(0, 14) * j):
+                w[rng.randrange(80)] = f"v{rng.randrange(3000)}"
+            rows.append((g * 10 + j, " ".join(w)))
+    got, want = {tuple(r) for r in jaccard.similar(docs(rows)).collect()}, brute(rows, 0.5)
+    assert got <= want and len(got) >= 0.9 * len(want) > 50
+
+
+def test_tree_prunes_nothing_that_counts():
+    rng = np.random.default_rng(2)
+    sets_ = [np.unique(rng.integers(0, 2000, rng.integers(1, 120))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(150)]
+    sets_ = [np.sort(s) for s in sets_ + [np.delete(s, slice(0, len(s) // 5)) for s in sets_[:60]]]
+    keys = np.arange(len(sets_))[:, None]
+    got = {(min(x, y), max(x, y)) for a, b, _ in jaccard.join_group(0, keys, sets_, 0.4) for x, y in zip(a, b)}
+    every = [set(s.tolist()) for s in sets_]
+    want = {(i, j) for j in range(len(every)) for i in range(j) if every[i] and len(every[i] & every[j]) >= 0.4 * len(every[i] | every[j])}
+    assert got == want and len(want) > 40
+    examined = sum(len(a) for a, _ in jaccard.Tree(sets_).pairs(0.4))
+    assert examined < len(sets_) ** 2 / 4
+
+
+def test_thinned_keeps_one_of_each_group(docs, prose):
+    rows = [r for r in prose if r[0] is not None]
+    group = groups(brute(rows, 0.5))
+    got = jaccard.thinned(docs(rows), routes=12)
+    assert got.columns == docs([]).columns
+    want = [(d, t) for d, t in rows if group.get(d, d) == d]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7)]
+    random.Random(1).shuffle(edges)
+    got = {r._v: r._root for r in jaccard.components(spark.createDataFrame(edges, "_a bigint, _b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 98: 98, 99: 98, 100: 98}
+
+
+def test_nothing_to_join(docs):
+    assert jaccard.similar(docs([])).count() == 0
+    rows = [(1, None), (2, ""), (3, " \n"), (None, None)]
+    assert jaccard.similar(docs(rows)).count() == 0
+    assert jaccard.thinned(docs(rows)).count() == 4 and jaccard.thinned(docs([])).count() == 0
