@@ -65,6 +65,17 @@ def _sketches(n: int, routes: int):
     return run
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """The leading 48 bits of sorted hashes: two n-grams of a pair of documents agree in them by chance once in some 10**8 pairs."""
+    return (h >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(U).ravel()
+
+
 def _chunks(frames):
     for f in frames:
         texts = [b"" if t is None else bytes(t) for t in f["text"]]
@@ -83,7 +94,7 @@ def _routed(n: int):
         for f, texts in _chunks(frames):
             h, first = gram_sets(texts, n)
             one = _sums(mix(h + _SALT[40]), first, np.add.reduceat).view(np.int64)
-            out = [(k, keys[k], d, s, keys.tobytes(), h[a:b].tobytes()) for d, s, own, keys, live, a, b in zip(f["_d"], f["_s"], one, f["_k"], f["_live"], first, first[1:]) if s == own for k in live]
+            out = [(k, keys[k], d, s, keys.tobytes(), _packed(h[a:b])) for d, s, own, keys, live, a, b in zip(f["_d"], f["_s"], one, f["_k"], f["_live"], first, first[1:]) if s == own for k in live]
             yield pd.DataFrame(out, columns=["_r", "_v", "_d", "_s", "_keys", "_grams"])
 
     return run
@@ -159,7 +170,7 @@ def join_group(route: int, keys: np.ndarray, sets: list[np.ndarray], t: float) -
 def _joined(t: float):
     def flush(rows: list) -> Iterator[pd.DataFrame]:
         rows.sort(key=lambda r: (r[4], r[2]))  # those alike in their other min-hashes side by side
-        sets = [np.frombuffer(r[5], U) for r in rows]
+        sets = [_unpacked(r[5]) for r in rows]
         keys = np.array([np.frombuffer(r[4], np.int64) for r in rows])
         d, size = np.array([r[2] for r in rows], np.int64), np.array([len(s) for s in sets], np.int64)
         for a, b, o in join_group(rows[0][0], keys, sets, t):
