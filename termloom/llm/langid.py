@@ -3,7 +3,8 @@
 A text's letters, lower-cased, give byte 3-grams and 4-grams that don't run over a word's ends by more than one
 boundary; each is hashed to a row of an embedding table, the mean row goes through a linear softmax. Table and softmax
 are trained together by stochastic gradient descent in numpy on a bounded sample of labelled rows. A temperature fitted
-on held-out rows makes the softmax a probability; the rejection threshold is set on the same rows.
+on held-out rows makes the softmax a probability, in which the share of subwords never seen counts for any language
+alike; the rejection threshold is set on the same rows.
 
 As everything after the table is linear, table and softmax fold into one score per (row, language): a text costs one
 lookup and one addition per subword. Whole texts are read, in training and in use.
@@ -58,32 +59,36 @@ def softmax(z: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    scores: np.ndarray  # (2**BITS, languages)
+    scores: np.ndarray  # (2**BITS, languages + 1), at the end whether the row was seen in training
     bias: np.ndarray
     temperature: float
     threshold: float
 
-    def logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores by text, and how many subwords it has."""
-        total, n = np.zeros((len(texts), len(self.langs)), np.float64), np.zeros(len(texts), np.int64)
+    def logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By text: scores, the share of its subwords that were seen, and how many it has."""
+        total, n = np.zeros((len(texts), len(self.langs) + 1), np.float64), np.zeros(len(texts), np.int64)
         for rows, of in subwords(texts):
             own = np.bincount(of, minlength=len(texts))
             n += own
             some = np.flatnonzero(own)
             if len(some):
                 total[some] += np.add.reduceat(self.scores[rows], np.concatenate([[0], np.cumsum(own[some])[:-1]]), axis=0)
-        return total / np.maximum(n, 1)[:, None] + self.bias, n
+        total /= np.maximum(n, 1)[:, None]
+        return total[:, :-1] + self.bias, total[:, -1], n
+
+    def probabilities(self, z: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return known[:, None] * softmax(z / self.temperature) + (1 - known[:, None]) / len(self.langs)
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language (-1 without any letter) and its calibrated probability."""
-        z, n = self.logits(texts)
-        p = softmax(z / self.temperature)
+        z, known, n = self.logits(texts)
+        p = self.probabilities(z, known)
         best = p.argmax(1)
         return np.where(n > 0, best, -1), np.where(n > 0, p[np.arange(len(p)), best], 0.0)
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 5, rate: float = 1.0, batch: int = 32, seed: int = 7, lost: float = 0.001) -> Model:
-    """Every fifth row is held out for the temperature and the threshold.
+def train(texts: list[bytes], labels: list[str], steps: int = 500, rate: float = 1.0, batch: int = 32, seed: int = 7, lost: float = 0.001) -> Model:
+    """At least ``steps`` steps of descent, in whole passes. Every fifth row is held out for the temperature and the threshold.
 
     ``lost``: share of held-out rows that may be rejected; the threshold is the highest up to 0.5 (the language is as likely
     wrong as right) that keeps to it, and at least somewhat more than a guess among the languages would have.
@@ -106,7 +111,8 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 5, rate: float =
         held = fit = ids
     for i in fit:
         seen[g[first[i] : first[i + 1]]] = True
-    steps, done = epochs * -(-len(fit) // batch), 0
+    epochs, done = -(-steps * batch // max(1, len(fit))), 0
+    steps = epochs * -(-len(fit) // batch)
     for _ in range(epochs):
         rng.shuffle(fit)
         for b in range(0, len(fit), batch):
@@ -125,13 +131,13 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 5, rate: float =
                 emb[:, k] -= 20 * lr * np.bincount(g[at], w[at] * back[mine, k], minlength=1 << BITS)
             done += 1
     emb[~seen] = 0  # what was never seen says nothing
-    model = Model(langs, (emb @ soft).astype(np.float32), bias, 1.0, 0.0)
+    model = Model(langs, np.hstack([emb @ soft, seen[:, None]]).astype(np.float32), bias, 1.0, 0.0)
     if len(held):
-        z = model.logits([texts[i] for i in held])[0]
+        z, known, _ = model.logits([texts[i] for i in held])
         grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
         loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(held)), y[held]], 1e-300)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
-        best = np.sort(softmax(z / model.temperature).max(1))
+        best = np.sort(model.probabilities(z, known).max(1))
         model.threshold = float(max(min(0.5, 1.25 / len(langs)), min(0.5, best[int(lost * len(best))] - 1e-9)))
     return model
 

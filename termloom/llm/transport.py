@@ -292,7 +292,11 @@ def read(data: bytes) -> Stream:
         if pid not in s.types:
             continue
         if gap and pid in parts:
-            parts[pid][2] = False
+            size = int.from_bytes((head := b"".join(parts[pid][0]))[4:6], "big")
+            if size and len(head) >= 6 + size:
+                close(pid)  # it was whole before the gap
+            else:
+                parts[pid][2] = False
         if first:
             if pid in parts:
                 close(pid)
