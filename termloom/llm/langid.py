@@ -12,6 +12,7 @@ lookup and one addition per subword. Whole texts are read, in training and in us
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +52,16 @@ def subwords(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(h, np.searchsorted(stop, at, "right")) for h, at in ((h3, three), (h4, four))]
 
 
+def _pieces(texts: list[bytes], limit: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts) in pieces of about ``limit`` bytes; a text is never cut."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= limit or i + 1 == len(texts):
+            yield begin, texts[begin : i + 1]
+            begin, size = i + 1, 0
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -95,11 +106,16 @@ def train(texts: list[bytes], labels: list[str], steps: int = 500, rate: float =
     """
     langs = sorted(set(labels))
     y = np.array([langs.index(x) for x in labels])
-    rows, of = map(np.concatenate, zip(*subwords(texts)))
-    key, count = np.unique(of.astype(np.int64) << BITS | rows, return_counts=True)
-    d, g = key >> BITS, key & ((1 << BITS) - 1)
-    n = np.bincount(d, count, minlength=len(texts))
-    w = count / n[d]
+    d, g, w, n = [], [], [], np.zeros(len(texts))
+    for begin, own in _pieces(texts, 500_000):
+        rows, of = map(np.concatenate, zip(*subwords(own)))
+        key, count = np.unique(of.astype(np.int64) << BITS | rows, return_counts=True)
+        of = (key >> BITS) + begin
+        n += np.bincount(of, count, minlength=len(texts))
+        d.append(of.astype(np.int32))
+        g.append((key & ((1 << BITS) - 1)).astype(np.int32))
+        w.append((count / n[of]).astype(np.float32))
+    d, g, w = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (d, g, w))
     first = np.searchsorted(d, np.arange(len(texts) + 1))
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1, 1, (1 << BITS, DIM)) / DIM
@@ -133,7 +149,7 @@ def train(texts: list[bytes], labels: list[str], steps: int = 500, rate: float =
     emb[~seen] = 0  # what was never seen says nothing
     model = Model(langs, np.hstack([emb @ soft, seen[:, None]]).astype(np.float32), bias, 1.0, 0.0)
     if len(held):
-        z, known, _ = model.logits([texts[i] for i in held])
+        z, known, _ = map(np.concatenate, zip(*[model.logits(own) for _, own in _pieces([texts[i] for i in held], 500_000)]))
         grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
         loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(held)), y[held]], 1e-300)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
@@ -159,12 +175,8 @@ def predictor(model: Model | None):
     def predict(text: pd.Series) -> pd.DataFrame:
         texts = [b"" if t is None else bytes(t) for t in text]
         lang, conf = np.full(len(texts), -1), np.zeros(len(texts))
-        begin = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if model is not None and (size > 1_000_000 or i + 1 == len(texts)):
-                lang[begin : i + 1], conf[begin : i + 1] = model.predict(texts[begin : i + 1])
-                begin, size = i + 1, 0
+        for begin, own in _pieces(texts, 1_000_000) if model is not None else ():
+            lang[begin : begin + len(own)], conf[begin : begin + len(own)] = model.predict(own)
         names = np.array([*(model.langs if model else []), None], dtype=object)
         return pd.DataFrame({"lang": names[lang], "confidence": conf, "rejected": (lang < 0) | (conf < (model.threshold if model else 1))})
 
