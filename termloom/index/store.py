@@ -21,7 +21,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analysis import ANALYZERS, Analyzer, doc_lengths, forward, term_counts
+from ..functions.analysis import ANALYZERS, Analyzer, forward, term_counts
 from ..functions.scoring import MEASURES, Measure
 from ..operators.postings import blocks, lexicon
 from ..operators.search import Searcher
@@ -186,8 +186,7 @@ class Index:
         term_counts(rows, self.analyzer).repartitionByRange(width, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{where}/postings")
         p = self.spark.read.parquet(f"{where}/postings")
         lexicon(p).repartitionByRange(max(1, width // 4), "term").sortWithinPartitions("term").write.parquet(f"{where}/lexicon")
-        lengths = doc_lengths(rows, self.analyzer).withColumnRenamed("doc_id", "_d")
-        d = rows.select("doc_id", "ext_id").join(lengths, F.col("doc_id") == F.col("_d")).drop("_d").join(forward(p), "doc_id", "left")
+        d = rows.select("doc_id", "ext_id", F.size(self.analyzer.array(F.col("text"))).alias("doc_len")).join(forward(p), "doc_id", "left")
         d.select("doc_id", "ext_id", "doc_len", F.coalesce("terms", F.array().cast("array<struct<term:string,tf:int,doc_len:int>>")).alias("terms")).write.parquet(f"{where}/documents")
         if "doc_id" not in docs.columns:
             _Files(self.spark, self.root).delete(f"{where}/_numbered")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import Analyzer, doc_lengths, simple, term_counts
+from ..functions.analysis import Analyzer, simple, term_counts
 from ..functions.scoring import OKAPI, Measure, idf
 from ..plans.clauses import And, Clause, Combine, Or, Term, TermId, add, compile_clause, expressions, leaves, ranked, resolved
 from .postings import block_of, blocks, lexicon, live, term_ids, total_docs
@@ -197,4 +197,4 @@ def rank_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return own.groupBy("query").agg(F.round(F.sum("_p") / F.count("*"), 6).alias("agreement"))
 
 
-__all__ = ["And", "Or", "Searcher", "Term", "TermId", "doc_lengths", "overlap_at_k", "rank_agreement"]
+__all__ = ["And", "Or", "Searcher", "Term", "TermId", "overlap_at_k", "rank_agreement"]

@@ -1,4 +1,5 @@
 import importlib.util
+import math
 import os
 import sys
 
@@ -18,24 +19,23 @@ def sql(data):
     return con
 
 
-def normal(df: pd.DataFrame) -> pd.DataFrame:
-    df = df[sorted(df.columns)].copy()
-    for c in df:
-        df[c] = df[c].round(6) if pd.api.types.is_float_dtype(df[c]) else df[c].astype(object).where(df[c].notna(), "").astype(str)
-    return df.sort_values(list(df.columns)).reset_index(drop=True)
+def cell(v):
+    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) or v is pd.NA:
+        return ""
+    if isinstance(v, str | bool):
+        return str(v)
+    return repr(round(float(v), 6) + 0.0)
+
+
+def rows(df: pd.DataFrame) -> list:
+    df = df[sorted(df.columns)]
+    return sorted(zip(*[[cell(v) for v in df[c].tolist()] for c in df]))
 
 
 def compare(df, want):
-    got = normal(df.toPandas())
-    want = normal(want)
-    assert list(got.columns) == list(want.columns) and len(got) == len(want)
-    for c in got:
-        if pd.api.types.is_float_dtype(got[c]):
-            assert ((got[c] - want[c].astype(float)).abs() <= 1e-9 * got[c].abs() + 1e-9)[got[c].notna()].all() and (got[c].isna() == want[c].isna()).all(), c
-        elif pd.api.types.is_float_dtype(want[c]):
-            assert (got[c].replace("", None).astype(float).fillna(-1) == want[c].fillna(-1)).all(), c
-        else:
-            assert (got[c].str.removesuffix(".0") == want[c].str.removesuffix(".0")).all(), c
+    got = df.toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
 
 
 @pytest.mark.parametrize("name", sorted(engine.SQL))
