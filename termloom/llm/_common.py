@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Stands for a null doc_id inside an operator; given back as null.
 NO_ID = -(2**63)
@@ -34,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids up to which a side of a join is broadcast; a larger one is shuffled.
+FEW = 1_000_000
+
+
+def few(df: DataFrame, limit: int = FEW) -> DataFrame:
+    """A materialised ``df`` of narrow rows, marked for broadcast if it has no more than ``limit`` of them."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def parts(df: DataFrame) -> int:
     """The session's shuffle width."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -62,14 +70,6 @@ def doc_id(c: str = "_d") -> Column:
     return F.when(F.col(c) != NO_ID, F.col(c)).alias("doc_id")
 
 
-def keep(df: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    return df.join(kept_ids, "doc_id", "left_semi")
-
-
-def long_field(*names: str) -> list[T.StructField]:
-    return [T.StructField(n, T.LongType()) for n in names]
-
-
 def spread_rank(df: DataFrame, group: list[str], order: list[str], weight: Column, out: str, buckets: int, key: str) -> DataFrame:
     """``out``: sum of ``weight`` over the rows of the same group that come before, in ``order``.
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, doc_id, documents, parts
+from ._common import cut, doc_id, documents, few, parts
 
 SLOTS, KICKS = 4, 200
 PER_BUCKET = 100_000
@@ -167,13 +167,17 @@ def deduplicated(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
 
     Of equal texts the least doc_id stays (null is the least); of rows that repeat id and text any one.
     """
-    kept = cut(_marked(docs, digest_bytes).filter("kept").select("_d", "_g", "_n", "_text"))
+    marked = cut(_marked(docs, digest_bytes).filter("not kept or _n > 1").select("_d", "_g", "_first", "_n", "_text"))
     full = _digested(docs, digest_bytes, F.struct("*").alias("row")).alias("f")
-    out = full.join(kept.dropDuplicates(["_d", "_g", "_text"]).alias("k"), ["_d", "_g"]).filter(F.col("k._text").isNull() | (F.col("k._text") == F.col("f.text")))
-    if kept.filter("_n > 1").isEmpty():  # no row repeats both
+    same = lambda k: (F.col("f._d") == F.col(f"{k}._d")) & (F.col("f._g") == F.col(f"{k}._g")) & (F.col(f"{k}._text").isNull() | (F.col(f"{k}._text") == F.col("f.text")))
+    gone = few(marked.filter("_d <> _first").select("_d", "_g", "_text").distinct())
+    out = full.join(gone.alias("k"), same("k"), "left_anti")
+    again = marked.filter("_d = _first and _n > 1").select("_d", "_g", "_text").distinct()
+    if again.isEmpty():  # no row repeats both
         return out.select("row.*")
-    w = Window.partitionBy("_d", "_g", "f.text").orderBy(F.lit(1))
-    return out.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) | (F.col("_g") == F.lit(b""))).select("row.*")
+    w = Window.partitionBy("_d", "_g", "text").orderBy(F.lit(1))
+    one = full.join(again.alias("a"), same("a"), "left_semi").withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    return out.join(again.alias("a"), same("a"), "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 SQL = """

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, doc_id, documents, parts
+from ._common import cut, doc_id, documents, few, parts
 from ._words import U, Words, mix, ngrams
 
 N, THRESHOLD, ROUTES, FAN = 3, 0.5, 6, 8
@@ -209,7 +209,9 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, routes: i
     shared = keyed.groupBy("_r", "_v").agg(F.count("*").alias("_c")).filter("_c > 1")
     live = keyed.join(shared, ["_r", "_v"]).groupBy("_d", "_s").agg(F.sort_array(F.collect_list("_r")).alias("_live"))
     live = cut(live.join(reps.select("_d", "_s", "_k"), ["_d", "_s"]))
-    rows = text.join(live, "_d").select("_d", "text", "_s", "_k", "_live").mapInPandas(_routed(n), "_r int, _v bigint, _d bigint, _s bigint, _keys binary, _grams binary")
+    # Where the ids fit a broadcast, texts that no group needs are dropped before the shuffle.
+    some = text.join(few(live.select("_d").distinct()), "_d", "left_semi")
+    rows = some.join(live, "_d").select("_d", "text", "_s", "_k", "_live").mapInPandas(_routed(n), "_r int, _v bigint, _d bigint, _s bigint, _keys binary, _grams binary")
     rows = rows.dropDuplicates(["_r", "_v", "_d", "_s"]) if _repeats(sketch) else rows
     met = rows.repartition(parts(docs), "_r", "_v").sortWithinPartitions("_r", "_v").mapInPandas(_joined(threshold), "_a bigint, _b bigint, _o bigint, _u bigint")
     return met.unionByName(same).select(doc_id("_a").alias("doc_a"), doc_id("_b").alias("doc_b"), F.col("_o").alias("overlap"), F.round(F.col("_o") / F.col("_u"), 6).alias("jaccard"))
@@ -257,7 +259,7 @@ def thinned(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, routes: i
     together. Rows without a doc_id stay.
     """
     pairs = similar(docs, n, threshold, routes).select(F.coalesce("doc_a", F.lit(-(2**63))).alias("_a"), F.coalesce("doc_b", F.lit(-(2**63))).alias("_b"))
-    gone = components(pairs).filter("_v <> _root").select(F.col("_v").alias("_gone"))
+    gone = few(cut(components(pairs).filter("_v <> _root").select(F.col("_v").alias("_gone"))))
     return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
 
 
