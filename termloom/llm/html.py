@@ -2,7 +2,9 @@
 
 A page is parsed into a tree of elements; each subtree with text gets a hash of its tag, attributes, text and children.
 Spark counts, for each host, on how many different pages a hash occurs. Subtrees that occur on many are the site's
-template; of each page the largest of them are deleted and the text of the rest is returned.
+template; of each page the largest of them are deleted and the text of the rest is returned. A recurring subtree of
+``KEEP_WORDS`` or more words outside links may be content that the site shows in several frames, such as an article under
+different navigation: it stays, with all it holds, on one of its pages.
 
 Pages are parsed twice and never shuffled with their hashes: the templates of a host, a small table, go to the pages. It
 is broadcast when it has at most ``BROADCAST`` hashes; else pages are joined to it by host, where AQE splits a host of
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from ._common import NO_ID, cut, doc_id
 
 BROADCAST = 200_000
+#: Words outside links from which a recurring subtree stays on one page.
+KEEP_WORDS = 10
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>""",
@@ -40,13 +44,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Page:
-    """``nodes``: (first event, end event, hash, tag) of the subtrees that have text, in order of closing; ``events``: pieces of visible text, None for a line break."""
+    """``nodes``: (first event, end event, hash, tag, words outside links) of the subtrees that have text, in order of closing; ``events``: pieces of visible text, None for a line break."""
 
     def __init__(self, source: str):
         self.events: list[str | None] = []
-        self.nodes: list[tuple[int, int, int, str]] = []
-        self._open: list[list] = [["", 0, [], False]]  # name, first event, parts to hash, whether there is text
-        self._hidden = 0
+        self.nodes: list[tuple[int, int, int, str, int]] = []
+        self._open: list[list] = [["", 0, [], False, 0]]  # name, first event, parts to hash, whether there is text, words outside links
+        self._hidden = self._links = 0
         at = 0
         while m := _TOKEN.search(source, at):
             if m.start() > at:
@@ -83,6 +87,8 @@ class Page:
         top[2].append(plain.encode("utf-8", "surrogatepass"))
         if not self._hidden:
             self.events.append(plain)
+            if not self._links:
+                top[4] += len(plain.split())
 
     def _start(self, name: str, attrs: str) -> None:
         if name in _BLOCK:
@@ -96,8 +102,9 @@ class Page:
                 if own in _BARRIER:
                     break
             self.events.append(None)
-        self._open.append([name, len(self.events), [name.encode(), _SPACE.sub(" ", attrs.strip(" \t\r\n/")).encode("utf-8", "surrogatepass")], False])
+        self._open.append([name, len(self.events), [name.encode(), _SPACE.sub(" ", attrs.strip(" \t\r\n/")).encode("utf-8", "surrogatepass")], False, 0])
         self._hidden += name in _HIDDEN
+        self._links += name == "a"
 
     def _end(self, name: str) -> None:
         for k in range(len(self._open) - 1, 0, -1):
@@ -107,25 +114,30 @@ class Page:
                 return
 
     def _close(self) -> None:
-        name, first, hashed, text = self._open.pop()
+        name, first, hashed, text, n = self._open.pop()
         self._hidden -= name in _HIDDEN
+        self._links -= name == "a"
         h = _digest(hashed)
         if text and name not in _WHOLE and name not in _HIDDEN and not self._hidden:
-            self.nodes.append((first, len(self.events), int.from_bytes(h, "little", signed=True), name))
+            self.nodes.append((first, len(self.events), int.from_bytes(h, "little", signed=True), name, n))
         if name in _BLOCK:
             self.events.append(None)
         top = self._open[-1]
         top[2].append(h)
         top[3] |= text
+        top[4] += n
 
-    def text(self, template: frozenset | set) -> tuple[str, int]:
-        """Text without the subtrees whose hash is in ``template``, and how many of them, the largest only, were deleted."""
+    def text(self, template: frozenset | set, kept: frozenset | set = frozenset()) -> tuple[str, int]:
+        """Text without the subtrees whose hash is in ``template``, and how many of them, the largest only, were deleted. Those in ``kept`` stay with all they hold."""
         gone, keep = 0, self.events
         if template:
-            spans = sorted((n[0], -n[1]) for n in self.nodes if n[2] in template)
-            keep, at = [], 0
-            for begin, end in spans:
-                if begin < at or -end == begin:  # inside the one before
+            spans = sorted((n[0], -n[1], n[2] not in kept) for n in self.nodes if n[2] in template)
+            keep, at, whole = [], 0, 0
+            for begin, end, goes in spans:
+                if begin < max(at, whole) or -end == begin:  # inside the one before
+                    continue
+                if not goes:
+                    whole = -end
                     continue
                 keep += [*self.events[at:begin], None]
                 at = -end
@@ -149,24 +161,30 @@ def _subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for host, source in zip(f["_host"], f["_html"]):
             page = Page(source)
-            out.append((host, int.from_bytes(page.root, "little", signed=True), list({n[2] for n in page.nodes})))
-        yield pd.DataFrame(out, columns=["_host", "_root", "_hashes"])
+            out.append((host, int.from_bytes(page.root, "little", signed=True), list({n[2] for n in page.nodes}), list({n[2] for n in page.nodes if n[4] >= KEEP_WORDS})))
+        yield pd.DataFrame(out, columns=["_host", "_root", "_hashes", "_long"])
 
 
 def _extracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sets: dict[str, frozenset] = {}
+    sets: dict[str, tuple[frozenset, dict[int, set]]] = {}
     for f in frames:
         out = []
-        for i, host, source, hashes in zip(f["_i"], f["_host"], f["_html"], f["_hashes"]):
+        for i, host, source, hashes, long, roots in zip(f["_i"], f["_host"], f["_html"], f["_hashes"], f["_long"], f["_roots"]):
             if hashes is None:
-                template = frozenset()
+                template, stay = frozenset(), {}
             else:
                 if host not in sets:
                     if len(sets) > 100:
                         sets.clear()
-                    sets[host] = frozenset(hashes.tolist())
-                template = sets[host]
-            text, gone = Page(source).text(template) if source is not None else (None, 0)
+                    sets[host] = frozenset(hashes.tolist()), {}
+                    for h, r in zip(long.tolist(), roots.tolist()):
+                        sets[host][1].setdefault(r, set()).add(h)
+                template, stay = sets[host]
+            if source is None:
+                text, gone = None, 0
+            else:
+                page = Page(source)
+                text, gone = page.text(template, stay.get(int.from_bytes(page.root, "little", signed=True), frozenset()))
             out.append((i, host, text, gone))
         yield pd.DataFrame(out, columns=["_i", "host", "text", "n_removed"])
 
@@ -176,20 +194,26 @@ def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.01, broad
 
     A subtree is template when it occurs on at least ``min_pages`` different pages of the host and on ``min_share`` of
     them. Pages of a host with the same elements and text are one page, so that copies don't make each other a
-    template. ``n_removed``: deleted subtrees, not counting those inside another. A page's lines are its blocks; what a
+    template. A template of ``KEEP_WORDS`` or more words outside links stays on the page of least hash among those that have
+    it, so no such text is lost to a host whole; shorter ones go everywhere. ``n_removed``: deleted subtrees, not counting those inside another. A page's lines are its blocks; what a
     browser doesn't show is left out. A page whose url is null or has no host is extracted whole, with a null host. A
     null html gives a null text, an empty one ''. A null page_id stays null; repeated rows are each extracted. An empty
     table gives no rows. Further columns are not read.
     """
     host = F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     own = pages.select(F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID)).alias("_i"), F.when(host != "", host).alias("_host"), F.col("html").cast("string").alias("_html"))
-    seen = own.filter("_host is not null and _html is not null").select("_host", "_html").mapInPandas(_subtrees, "_host string, _root bigint, _hashes array<bigint>")
+    seen = own.filter("_host is not null and _html is not null").select("_host", "_html").mapInPandas(_subtrees, "_host string, _root bigint, _hashes array<bigint>, _long array<bigint>")
     seen = cut(seen.dropDuplicates(["_host", "_root"]))
     hosts = seen.groupBy("_host").agg(F.count("*").alias("_pages"))
     often = seen.select("_host", F.explode("_hashes").alias("_hash")).groupBy("_host", "_hash").count().filter(F.col("count") >= min_pages)
     often = often.join(hosts, "_host").filter(F.col("count") >= F.col("_pages") * min_share)
-    templates = cut(often.groupBy("_host").agg(F.collect_list("_hash").alias("_hashes")))
+    often = cut(often.select("_host", "_hash"))
+    long = seen.select("_host", "_root", F.explode("_long").alias("_hash")).join(often, ["_host", "_hash"]).groupBy("_host", "_hash").agg(F.min("_root").alias("_root"))
+    often = often.join(long, ["_host", "_hash"], "left")
+    kept = F.when(F.col("_root").isNotNull(), F.struct("_hash", "_root"))
+    templates = often.groupBy("_host").agg(F.collect_list("_hash").alias("_hashes"), F.collect_list(kept).alias("_kept"))
+    templates = cut(templates.select("_host", "_hashes", F.col("_kept._hash").alias("_long"), F.col("_kept._root").alias("_roots")))
     small = (templates.agg(F.sum(F.size("_hashes"))).first()[0] or 0) <= broadcast
-    out = own.join(F.broadcast(templates) if small else templates, "_host", "left").select("_i", "_host", "_html", "_hashes")
+    out = own.join(F.broadcast(templates) if small else templates, "_host", "left").select("_i", "_host", "_html", "_hashes", "_long", "_roots")
     out = out.mapInPandas(_extracted, "_i bigint, host string, text string, n_removed int")
     return out.select(doc_id("_i").alias("page_id"), "host", "text", "n_removed")

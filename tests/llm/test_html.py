@@ -81,3 +81,19 @@ def test_parser():
 
 def test_empty(spark):
     assert extract(make(spark, [])).count() == 0
+
+
+def test_copies_of_an_article_dont_remove_every_copy(spark):
+    """Four copies under different navigation, and a host's navigation and footer on pages of their own."""
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    nav = [f'<nav><ul><li><a href="/{j}">{words(30)}</a></li></ul></nav>' for j in range(4)]
+    first, second = words(60), words(4)
+    article = f"<article><h1>{words(3)}</h1><p>{first}</p><p>{second}</p></article>"
+    rows = [(i, f"http://a.example/{i}", f'{nav[i % 4]}<div class="ad">{words(5)} {i}</div>{article if i < 4 else f"<p>{words(40)}</p>"}<footer>all rights</footer>') for i in range(40)]
+    got = {r.page_id: r for r in extract(make(spark, rows)).collect()}
+    whole = [i for i in range(40) if first in got[i].text]
+    assert len(whole) == 1 and whole[0] < 4 and second in got[whole[0]].text
+    assert all("rights" not in r.text and len(r.text.split()) < 100 for r in got.values())
+    assert all(re.search(r"\d", r.text) and r.n_removed == (2 if i > 3 or i in whole else 3) for i, r in got.items())
+    assert all(Page(n).nodes[-1][4] == 0 for n in nav)  # text of links is no content
