@@ -104,6 +104,32 @@ class Searcher:
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))
         return scores.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "doc_id", "score")
 
+    def batch_pairs(self, first: list[str], second: list[str], k: int) -> DataFrame:
+        """(query, rank, doc_id, score): the ``k`` best of the disjunction of the i-th of ``first`` with each later than the i-th of ``second``.
+
+        The same rows as ``batch``, for scores that aren't negative and lists that share no term. A match that has one of the
+        two terms alone is among the ``k`` best of that term, so only those and the matches of both terms are ranked by
+        query; the matches of a frequent term are not repeated for each of its queries.
+        """
+        na, nb = len(first), len(second)
+        names = [("i", t, n) for n, t in enumerate(first, 1)] + [("j", t, n) for n, t in enumerate(second, 1)]
+        terms = self.postings.sparkSession.createDataFrame([(t, n if c == "i" else None, n if c == "j" else None) for c, t, n in names], "term string, i int, j int")
+        p = self.scored([t for _, t, _ in names]).join(F.broadcast(terms), "term")
+        own = p.groupBy("doc_id").agg(F.collect_list(F.struct("i", "j", F.col("score").alias("s"))).alias("_t"))
+        own = own.select("doc_id", "_t", F.filter("_t", lambda x: x["i"].isNotNull()).alias("_a"), F.filter("_t", lambda x: x["j"].isNotNull()).alias("_b"))
+        both = F.flatten(F.transform("_b", lambda b: F.transform(F.filter("_a", lambda a: a["i"] < b["j"]), lambda a: F.struct(a["i"].alias("i"), b["j"].alias("j"), (a["s"] + b["s"]).alias("s")))))
+        rows = own.select("doc_id", F.explode(F.concat("_t", both)).alias("x")).select("x.i", "x.j", "doc_id", F.round("x.s", 6).alias("score"))
+        best = F.row_number().over(Window.partitionBy("i", "j").orderBy(F.desc("score"), "doc_id"))
+        rows = rows.withColumn("rank", best).filter(F.col("rank") <= k)
+        pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+        i, j = F.col("i"), F.col("j")
+        queries = F.when(j.isNull() & (i < nb), F.transform(F.sequence(i + 1, F.lit(nb)), lambda x: pair(i, x))).when(i.isNull() & (j > 1), F.transform(F.sequence(F.lit(1), F.least(j - 1, F.lit(na))), lambda x: pair(x, j))).when(i.isNotNull() & j.isNotNull(), F.array(pair(i, j)))
+        every = rows.select("doc_id", "score", F.explode(queries).alias("x")).select("x.i", "x.j", "doc_id", "score").repartition("i", "j")
+        out = every.groupBy("i", "j", "doc_id").agg(F.max("score").alias("score")).withColumn("rank", best).filter(F.col("rank") <= k)
+        a = terms.filter("i is not null").select("i", F.col("term").alias("_a"))
+        b = terms.filter("j is not null").select("j", F.col("term").alias("_b"))
+        return out.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select(F.concat_ws(" ", "_a", "_b").alias("query"), "rank", "doc_id", "score")
+
     def explain(self, clause: Clause, docs: DataFrame) -> DataFrame:
         """(doc_id, path, clause, term, tf, doc_len, df, n, idf, measure, term_score): a row for each node of the tree and each of ``docs`` (doc_id).
 
