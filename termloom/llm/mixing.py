@@ -44,13 +44,14 @@ def _pow2(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_tokens: int = 16384, budget: int | None = None, max_epochs: int = 4, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_tokens: int = 16384, budget: int | None = None, max_epochs: int | None = None, seed: str = "mix") -> DataFrame:
     """Schedule of ``docs``: (slot, source, epoch, block, offset, doc_id, n_tokens).
 
     ``weights``: target share by source; sources that it lacks get no slot. Without it a source of t tokens weighs
     t**alpha. ``budget``: tokens to schedule, by default as many as it takes to use every block of every weighted source;
-    with a smaller budget a source leaves blocks out. A source short of tokens repeats its blocks up to ``max_epochs``
-    times and leaves later slots empty.
+    with a smaller budget a source leaves blocks out. A source short of tokens repeats its blocks as often as its weight
+    asks; with ``max_epochs`` only so many times, and its later slots stay empty, so that its weight is not reached. A
+    source of less than a block fills its slots with what it has.
     A document goes whole into the block in which it starts; a token is a word.
 
     A null source is the source ''. A null or empty text has no tokens and shares the slot of its neighbour in the
@@ -60,7 +61,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     return _scheduled(docs, weights, alpha, block_tokens, budget, max_epochs, seed).select("slot", "source", "epoch", "block", "offset", doc_id(), "n_tokens")
 
 
-def _scheduled(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_tokens: int = 16384, budget: int | None = None, max_epochs: int = 4, seed: str = "mix") -> DataFrame:
+def _scheduled(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_tokens: int = 16384, budget: int | None = None, max_epochs: int | None = None, seed: str = "mix") -> DataFrame:
     """The schedule with ``_d`` and ``_h``, the hash of id and text, for the id."""
     spark = docs.sparkSession
     base = cut(_hashed(docs, seed).select("_d", "source", words(F.col("text")).alias("n_tokens"), "_h"))
@@ -89,7 +90,9 @@ def _scheduled(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     if budget is None:
         last = lane.filter(F.col("_r") == F.col("_n") - 1).agg(F.max("slot").alias("_last"))
         lane = lane.crossJoin(last).filter(F.col("slot") <= F.col("_last"))
-    lane = lane.select("slot", "source", (F.col("_r") % F.col("_n")).alias("block"), F.floor(F.col("_r") / F.col("_n")).alias("epoch")).filter(F.col("epoch") < max_epochs)
+    lane = lane.select("slot", "source", (F.col("_r") % F.col("_n")).alias("block"), F.floor(F.col("_r") / F.col("_n")).alias("epoch"))
+    if max_epochs is not None:
+        lane = lane.filter(F.col("epoch") < max_epochs)
     laid = spread_rank(base, ["source"], ["_h", "_d"], F.col("n_tokens"), "_s", _pow2(sum(s.c for s in stats) / 200_000), "_h").join(blocks, "source")
     laid = laid.withColumn("block", F.least(F.floor(F.col("_s") / block_tokens), F.col("_n") - 1)).withColumn("offset", F.col("_s") - F.col("block") * block_tokens)
     return laid.join(lane, ["source", "block"]).select("slot", "source", "epoch", "block", "offset", "_d", "_h", "n_tokens")
@@ -100,7 +103,7 @@ def _hashed(docs: DataFrame, seed: str, *more) -> DataFrame:
     return d.withColumn("_h", hash60(F.lit(seed), F.when(F.col("_d") != NO_ID, F.col("_d")), "text"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_tokens: int = 16384, budget: int | None = None, max_epochs: int = 4, seed: str = "mix") -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_tokens: int = 16384, budget: int | None = None, max_epochs: int | None = None, seed: str = "mix") -> DataFrame:
     """The rows of ``docs``, all columns as they were, each as often as ``mix`` schedules it.
 
     A source whose texts have no token at all has no block to schedule: its rows stay, once, where ``weights`` doesn't

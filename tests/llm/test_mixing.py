@@ -78,3 +78,16 @@ def test_empty(docs):
     assert mixing.mix(docs([(1, None), (None, "")])).count() == 0
     assert mixing.mixed(docs([(1, None), (None, "")])).count() == 2
     assert math.isclose(mixing.thresholds([1, 1])[0] / 2**40, 0.5)
+
+
+def test_a_source_far_smaller_than_the_largest_keeps_its_weight(docs):
+    """Over 4 epochs of a small source, to the end of the schedule."""
+    rows = [(i, "w " * 100, "en", "hot" if i < 1000 else "small") for i in range(1002)]
+    slots = {r.slot: (r.source, r.epoch) for r in mixing.mix(docs(rows), block_tokens=100).collect()}
+    want = 1 / (1 + 500**0.7)
+    assert sorted(slots) == list(range(len(slots)))  # no slot stays empty
+    small = [k for k, (source, _) in slots.items() if source == "small"]
+    assert max(slots[k][1] for k in small) > 4 and abs(len(small) / len(slots) - want) < 2 / len(slots)
+    late = [k for k in small if k >= len(slots) // 2]
+    assert abs(len(late) - want * len(slots) / 2) < 3
+    assert max(r.epoch for r in mixing.mix(docs(rows), block_tokens=100, max_epochs=4).collect()) == 3
