@@ -133,6 +133,8 @@ def by_bucket(df: DataFrame, width: int) -> DataFrame:
     return df.repartition(width, "_b").sortWithinPartitions("_b")
 
 
+#: Added to the first place of a window that occurs within one document only: such runs are never joined to others.
+WITHIN = -(2**31)
 RUNS = "_k bigint, _s int, _w int, _c bigint, _q int"
 
 
@@ -147,8 +149,8 @@ def runs_of(k: np.ndarray, p: np.ndarray, ck: np.ndarray, cp: np.ndarray, n: np.
     return pd.DataFrame({"_k": k[at], "_s": p[at], "_w": np.add.reduceat(n, at), "_c": ck[at], "_q": cp[at]})
 
 
-def joined(runs: DataFrame, least: int, names: DataFrame | None) -> DataFrame:
-    """Runs of windows, joined by document, as spans of words."""
+def joined(runs: DataFrame, least: int, names: DataFrame | None, within: bool = False) -> DataFrame:
+    """Runs of windows, joined by document, as spans of words; ``within`` adds the column that tells those within one document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
@@ -165,17 +167,23 @@ def joined(runs: DataFrame, least: int, names: DataFrame | None) -> DataFrame:
         out = out.join(names, "_k").join(names.select(F.col("_k").alias("_c"), F.col("_d").alias("_cd")), "_c")
     else:
         out = out.withColumn("_d", F.col("_k")).withColumn("_cd", F.col("_c"))
-    return out.select(doc_id("_d"), F.col("_s").alias("start"), (F.col("_w") + least - 1).alias("n_words"), doc_id("_cd").alias("first_doc"), F.col("_q").alias("first_start"))
+    own, at = F.col("_q") < 0, F.col("_q")
+    at = F.when(own, (at.cast("bigint") - WITHIN).cast("int")).otherwise(at) if within else at
+    return out.select(doc_id("_d"), F.col("_s").alias("start"), (F.col("_w") + least - 1).alias("n_words"), doc_id("_cd").alias("first_doc"), at.alias("first_start"), *([own.alias("within")] if within else []))
 
 
-def repeated(h: np.ndarray, k: np.ndarray, p: np.ndarray, order: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(k, p, ck, cp) of windows that occur in several documents, ordered by (k, p). ``order`` sorts windows by value, k, p; ``tie`` marks, in that order, those equal to the one before."""
+def repeated(h: np.ndarray, k: np.ndarray, p: np.ndarray, order: np.ndarray, tie: np.ndarray, within: bool = False) -> tuple[np.ndarray, ...]:
+    """(k, p, ck, cp) of windows that occur in several documents, or with ``within`` at several places, ordered by (k, p). ``order`` sorts windows by value, k, p; ``tie`` marks, in that order, those equal to the one before."""
     at = np.flatnonzero(~tie)
     length = np.diff(np.append(at, len(order)))
     ks, ps = k[order], p[order]
     many = ks[at] != ks[at + length - 1]
+    first = ps[at]
+    if within:
+        first = np.where(many, first, first + np.int32(WITHIN)).astype(np.int32)
+        many = length > 1
     ok = np.repeat(many, length)
-    ck, cp = np.repeat(ks[at], length)[ok], np.repeat(ps[at], length)[ok]
+    ck, cp = np.repeat(ks[at], length)[ok], np.repeat(first, length)[ok]
     ks, ps = ks[ok], ps[ok]
     o = np.lexsort((ps, ks))
     return ks[o], ps[o], ck[o], cp[o]

@@ -47,14 +47,15 @@ def _probes(least: int, block: int, width: int):
     return run
 
 
-def _hits(block: int):
+def _hits(block: int, within: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, h, _, k, p in gathered(frames, U, U):
             order = np.lexsort((k, h))
             hs, ks = h[order], k[order]
             at = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
             length = np.diff(np.append(at, len(hs)))
-            hit = (ks[at] != ks[at + length - 1]) & np.logical_or.reduceat(p[order] % block == 0, at)
+            several = length > 1 if within else ks[at] != ks[at + length - 1]
+            hit = several & np.logical_or.reduceat(p[order] % block == 0, at)
             own = order[np.repeat(hit, length)]
             ks, ps = k[own], p[own]
             o = np.lexsort((ps, ks))
@@ -82,14 +83,17 @@ def _longer(least: int, block: int, width: int):
     return run
 
 
-def _equal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for _, h, _, k, p in gathered(frames, U, U):
-        order = np.lexsort((p, k, h))
-        tie = np.append(False, h[order][1:] == h[order][:-1])
-        yield runs_of(*repeated(h, k, p, order, tie))
+def _equal(within: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, h, _, k, p in gathered(frames, U, U):
+            order = np.lexsort((p, k, h))
+            tie = np.append(False, h[order][1:] == h[order][:-1])
+            yield runs_of(*repeated(h, k, p, order, tie, within))
 
+    return run
 
-def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+
+def repeats(docs: DataFrame, least: int = LEAST, within: bool = False) -> DataFrame:
     """(doc_id, start, n_words, first_doc, first_start): maximal runs of words that also occur in another document.
 
     Each run has at least ``least`` words, counted from 0, and equals the one at ``first_start`` in ``first_doc``, the
@@ -98,6 +102,9 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     repetitions alone has none either, unless another document shares it. A null doc_id counts as the least and stays
     null. Rows that repeat id and text count once; texts of one id that differ are documents of their own. An empty
     table gives no rows. Further columns are not read.
+
+    ``within``: runs that recur in one document only are listed too. A column ``within`` tells them; the other rows are the
+    same as without it. The first place of a text of repetitions is then in the text itself.
     """
     if least < 16:
         raise ValueError("least must be 16 words or more")
@@ -106,7 +113,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     live = marks(text, least)
     n = buckets(live)
     probes = text.join(live, "_k").mapInPandas(_probes(least, block, 2 * n), BLOB)
-    hits = by_bucket(probes, parts(docs)).mapInPandas(_hits(block), "_k bigint, _s int, _w int")
+    hits = by_bucket(probes, parts(docs)).mapInPandas(_hits(block, within), "_k bigint, _s int, _w int")
     hits = cut(hits.groupBy("_k").agg(F.collect_list(F.struct("_s", "_w")).alias("_hits")))
     longer = text.join(hits, "_k").mapInPandas(_longer(least, block, n), BLOB)
-    return joined(by_bucket(longer, parts(docs)).mapInPandas(_equal, RUNS), least, names)
+    return joined(by_bucket(longer, parts(docs)).mapInPandas(_equal(within), RUNS), least, names, within)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, parts
-from ._repeats import BLOB, RUNS, buckets, by_bucket, candidates, gathered, joined, keyed, marks, repeated, runs_of, scatter, texts
+from ._repeats import BLOB, RUNS, WITHIN, buckets, by_bucket, candidates, gathered, joined, keyed, marks, repeated, runs_of, scatter, texts
 from ._words import U, mix, ngrams
 
 LEAST = 50
@@ -88,8 +88,8 @@ def _place(lead: np.ndarray, x: np.ndarray, k: np.ndarray, split: np.ndarray) ->
 _KEY = np.dtype([("a", np.uint64), ("x", np.uint64)])
 
 
-def _sorted(hot: set, width: int):
-    """Blobs (by document bucket) of windows that occur in several documents: x is the first document, y the first place.
+def _sorted(hot: set, width: int, within: bool):
+    """Blobs (by document bucket) of windows that occur in several documents, or with ``within`` at several places: x is the first document, y the first place.
 
     A suffix that boundaries cut goes whole to bucket ``_HOT``, x and y being its key.
     """
@@ -107,7 +107,7 @@ def _sorted(hot: set, width: int):
                     yield scatter(np.full(len(o), _HOT), lead[o], x[o], k[o], p[o])
                 order, tie = order[~cutoff], tie[~cutoff]
             if len(order):
-                ks, ps, ck, cp = repeated(x, k, p, order, tie)
+                ks, ps, ck, cp = repeated(x, k, p, order, tie, within)
                 if len(ks):
                     yield scatter((mix(ks.view(U)) % U(width)).astype(np.int64), ck, cp, ks, ps)
 
@@ -128,7 +128,7 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield runs_of(k[o], p[o], ck[o], cp[o])
 
 
-def repeats(docs: DataFrame, least: int = LEAST, per_bucket: int | None = None) -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST, per_bucket: int | None = None, within: bool = False) -> DataFrame:
     """(doc_id, start, n_words, first_doc, first_start): maximal runs of words that also occur in another document.
 
     Each run has at least ``least`` words, counted from 0, and equals the one at ``first_start`` in ``first_doc``, the
@@ -137,6 +137,9 @@ def repeats(docs: DataFrame, least: int = LEAST, per_bucket: int | None = None)
     repetitions alone has none either, unless another document shares it. A null doc_id counts as the least and stays
     null. Rows that repeat id and text count once; texts of one id that differ are documents of their own. An empty
     table gives no rows. Further columns are not read. ``per_bucket``: suffixes that a bucket is meant to hold.
+
+    ``within``: runs that recur in one document only are listed too. A column ``within`` tells them; the other rows are the
+    same as without it. The first place of a text of repetitions is then in the text itself.
     """
     if least < 16:
         raise ValueError("least must be 16 words or more")
@@ -170,12 +173,12 @@ def repeats(docs: DataFrame, least: int = LEAST, per_bucket: int | None = None)
             if len(lead):
                 yield scatter(_place(lead, x, k, split), lead, x, k, p)
 
-    found = by_bucket(ready.mapInPandas(emit, BLOB), width).mapInPandas(_sorted(hot, width), BLOB)
+    found = by_bucket(ready.mapInPandas(emit, BLOB), width).mapInPandas(_sorted(hot, width, within), BLOB)
     if hot:
         found = cut(found)
         parted = found.filter(F.col("_b") == _HOT).mapInPandas(_across, "_a bigint, _x bigint, _k bigint, _p int")
-        first = parted.groupBy("_a", "_x").agg(F.min(F.struct("_k", "_p")).alias("_f"), F.max("_k").alias("_z")).filter("_f._k <> _z")
-        cutruns = parted.join(first, ["_a", "_x"]).select("_k", F.col("_p").alias("_s"), F.lit(1).alias("_w"), F.col("_f._k").alias("_c"), F.col("_f._p").alias("_q"))
+        first = parted.groupBy("_a", "_x").agg(F.min(F.struct("_k", "_p")).alias("_f"), F.max("_k").alias("_z"), F.count("*").alias("_n")).filter("_n > 1" if within else "_f._k <> _z")
+        cutruns = parted.join(first, ["_a", "_x"]).select("_k", F.col("_p").alias("_s"), F.lit(1).alias("_w"), F.col("_f._k").alias("_c"), F.when(F.col("_f._k") == F.col("_z"), F.col("_f._p") + F.lit(WITHIN)).otherwise(F.col("_f._p")).alias("_q"))
         found = found.filter(F.col("_b") != _HOT)
     runs = by_bucket(found, width).mapInPandas(_runs, RUNS)
-    return joined(runs.unionByName(cutruns) if hot else runs, least, names)
+    return joined(runs.unionByName(cutruns) if hot else runs, least, names, within)
