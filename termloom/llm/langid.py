@@ -102,7 +102,8 @@ def train(texts: list[bytes], labels: list[str], steps: int = 500, rate: float =
     """At least ``steps`` steps of descent, in whole passes. Every fifth row is held out for the temperature and the threshold.
 
     ``lost``: share of held-out rows that may be rejected; the threshold is the highest up to 0.5 (the language is as likely
-    wrong as right) that keeps to it, and at least somewhat more than a guess among the languages would have.
+    wrong as right) that keeps to it, and at least somewhat more than a guess among the languages would have. It is 0.5
+    where so few rows are held out that the share is less than one of them: a single odd row says nothing of the share.
     """
     langs = sorted(set(labels))
     y = np.array([langs.index(x) for x in labels])
@@ -154,7 +155,8 @@ def train(texts: list[bytes], labels: list[str], steps: int = 500, rate: float =
         loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(held)), y[held]], 1e-300)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         best = np.sort(model.probabilities(z, known).max(1))
-        model.threshold = float(max(min(0.5, 1.25 / len(langs)), min(0.5, best[int(lost * len(best))] - 1e-9)))
+        least = int(lost * len(best))
+        model.threshold = float(max(min(0.5, 1.25 / len(langs)), min(0.5, best[least] - 1e-9))) if least else 0.5
     return model
 
 

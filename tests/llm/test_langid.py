@@ -49,3 +49,16 @@ def test_all_rows(spark, docs, data):
 def test_no_label_or_no_row(docs):
     assert langid.identify(docs([])).count() == 0 and langid.identified(docs([])).count() == 0
     assert [r.rejected for r in langid.identify(docs([(1, "some text", None)])).collect()] == [True]
+
+
+def test_one_odd_label_doesn_t_open_the_door():
+    """A sample of full size, one of whose held-out rows is junk."""
+    rng = np.random.default_rng(3)
+    words = {k: ["".join(rng.choice(list(k), rng.integers(3, 8))) for _ in range(60)] for k in ("abcdef", "ghijkl", "mnopqr", "stuvwx")}
+    labels = [list(words)[i % 4] for i in range(langid.SAMPLE)]
+    texts = [" ".join(rng.choice(words[k], 8)).encode() for k in labels]
+    texts[0] = b"zyzyz yyzzy zzyyz"  # the first row is held out
+    m = langid.train(texts, labels)
+    assert m.threshold == 0.5
+    _, conf = m.predict([texts[0], *texts[1:200]])
+    assert conf[0] < m.threshold and (conf[1:] >= m.threshold).all()
