@@ -103,7 +103,7 @@ def _hashed(docs: DataFrame, seed: str, *more) -> DataFrame:
     return d.withColumn("_h", hash60(F.lit(seed), F.when(F.col("_d") != NO_ID, F.col("_d")), "text"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_tokens: int = 16384, budget: int | None = None, max_epochs: int | None = None, seed: str = "mix") -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_tokens: int = 16384, budget: int | None = None, max_epochs: int | None = 4, seed: str = "mix") -> DataFrame:
     """The rows of ``docs``, all columns as they were, each as often as ``mix`` schedules it.
 
     A source whose texts have no token at all has no block to schedule: its rows stay, once, where ``weights`` doesn't
