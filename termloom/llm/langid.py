@@ -2,9 +2,9 @@
 
 A text's letters, lower-cased, give byte 3-grams and 4-grams that don't run over a word's ends by more than one
 boundary; each is hashed to a row of an embedding table, the mean row goes through a linear softmax. Table and softmax
-are trained together by stochastic gradient descent in numpy on a bounded sample of labelled rows. A temperature fitted
-on held-out rows makes the softmax a probability, in which the share of subwords never seen counts for any language
-alike; the rejection threshold is set on the same rows.
+are trained together by stochastic gradient descent in numpy on a bounded sample of labelled rows: mean gradients of a
+batch, none longer than ``CLIP``. A temperature fitted on held-out rows makes the softmax a probability, in which the
+share of subwords never seen counts for any language alike; the rejection threshold is set on the same rows.
 
 As everything after the table is linear, table and softmax fold into one score per (row, language): a text costs one
 lookup and one addition per subword. Whole texts are read, in training and in use.
@@ -20,11 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import doc_id, documents, hash60
+from ._common import doc_id, documents
 
 BITS, DIM = 16, 16
 #: Labelled rows that the model is trained and calibrated on, those of least hash, whatever the size of the table.
 SAMPLE = 4000
+#: Bytes of text that the sample may have in all. A row of more than a 64th of it is not trained on.
+SAMPLE_BYTES = 64 << 20
+#: Longest gradient of the softmax, and of a text's mean row.
+CLIP = 1.0
 
 _LOWER = np.full(256, 32, np.uint8)
 _LOWER[97:123] = np.arange(97, 123)
@@ -67,6 +71,20 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _clipped(rows: np.ndarray) -> np.ndarray:
+    return rows * np.minimum(1, CLIP / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300))
+
+
+def _temperature(z: np.ndarray, y: np.ndarray) -> float:
+    """That of least loss on held-out scores. A quarter of a row of each language is added in thought, so that rows that are all right don't make the model certain."""
+    n, k = z.shape
+    target = np.full((n, k), 0.25 / (n + 0.25 * k))
+    target[np.arange(n), y] = (n + 0.25) / (n + 0.25 * k)
+    grid = np.exp(np.linspace(np.log(1e-3), np.log(1e3), 277))
+    loss = [-(target * np.log(np.maximum(softmax(z / t), 1e-300))).sum(1).mean() for t in grid]
+    return float(grid[int(np.argmin(loss))])
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -141,32 +159,35 @@ def train(texts: list[bytes], labels: list[str], steps: int = 500, rate: float =
             e = softmax(h @ soft + bias)
             e[np.arange(len(own)), y[own]] -= 1
             lr = rate * (1 - done / steps)
-            back = e @ soft.T
-            soft -= lr * h.T @ e
+            back = _clipped(e @ soft.T)
+            soft -= 8 * lr * _clipped((h.T @ e / len(own)).reshape(1, -1)).reshape(soft.shape)
             bias -= lr * e.mean(0)
             for k in range(DIM):
-                emb[:, k] -= 20 * lr * np.bincount(g[at], w[at] * back[mine, k], minlength=1 << BITS)
+                emb[:, k] -= 160 * lr / len(own) * np.bincount(g[at], w[at] * back[mine, k], minlength=1 << BITS)
             done += 1
     emb[~seen] = 0  # what was never seen says nothing
+    if not (np.isfinite(emb).all() and np.isfinite(soft).all() and np.isfinite(bias).all()):
+        raise FloatingPointError("training diverged")
     model = Model(langs, np.hstack([emb @ soft, seen[:, None]]).astype(np.float32), bias, 1.0, 0.0)
     if len(held):
         z, known, _ = map(np.concatenate, zip(*[model.logits(own) for _, own in _pieces([texts[i] for i in held], 500_000)]))
-        grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
-        loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(held)), y[held]], 1e-300)).mean() for t in grid]
-        model.temperature = float(grid[int(np.argmin(loss))])
+        model.temperature = _temperature(z, y[held])
         best = np.sort(model.probabilities(z, known).max(1))
         least = int(lost * len(best))
         model.threshold = float(max(min(0.5, 1.25 / len(langs)), min(0.5, best[least] - 1e-9))) if least else 0.5
     return model
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Trained on ``sample`` labelled rows of least hash; None without any."""
-    d = docs.select(hash60(F.lit("langid"), "doc_id").alias("_h"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    last = d.select("_h").orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
-    if last is None:
+def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Trained on the labelled rows of least hash (of id, text and label), ``sample`` at most and ``sample_bytes`` of text at most, however many rows repeat or lack an id; None without any."""
+    d = docs.select(F.col("doc_id").cast("bigint").alias("_d"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    d = d.filter("lang is not null and text is not null").filter(F.octet_length("text") <= sample_bytes // 64)
+    d = d.withColumn("_h", F.xxhash64(F.lit("langid"), "_d", "text", "lang"))
+    size = d.select("_h", F.octet_length("text").alias("_n")).orderBy("_h", "_n").limit(sample).collect()
+    if not size:
         return None
-    got = sorted(d.filter(F.col("_h") <= last).select("_h", "text", "lang").collect())
+    some = int((np.cumsum([r._n for r in size]) <= sample_bytes).sum())
+    got = d.filter(F.col("_h") <= size[some - 1]._h).select("_h", "text", "lang").orderBy("_h").limit(some).collect()
     return train([x.text.encode() for x in got], [x.lang for x in got])
 
 
@@ -180,7 +201,7 @@ def predictor(model: Model | None):
         for begin, own in _pieces(texts, 1_000_000) if model is not None else ():
             lang[begin : begin + len(own)], conf[begin : begin + len(own)] = model.predict(own)
         names = np.array([*(model.langs if model else []), None], dtype=object)
-        return pd.DataFrame({"lang": names[lang], "confidence": conf, "rejected": (lang < 0) | (conf < (model.threshold if model else 1))})
+        return pd.DataFrame({"lang": names[lang], "confidence": conf, "rejected": (lang < 0) | ~(conf >= (model.threshold if model else 1))})
 
     predict = predict.asNondeterministic()  # else it is run again for each use of its result
     return lambda c: predict(F.col(c).cast("binary"))
@@ -192,7 +213,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     A null or empty text, or one without a letter, has a null language, confidence 0, and is rejected. Rows without a
     ``lang`` are identified but not trained on; without any label all rows are rejected. Repeated rows are each
     identified; equal texts get equal answers. A null doc_id stays null. An empty table gives no rows. Further columns
-    are not read.
+    are not read. Training takes ``sample`` rows at most and ``SAMPLE_BYTES`` of text (see ``fit``).
     """
     predict = predictor(fit(docs, sample))
     out = documents(docs).select("_d", predict("text").alias("_p"))
