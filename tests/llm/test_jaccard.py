@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from termloom.llm import jaccard
 
@@ -49,48 +50,134 @@ def groups(pairs):
     return {x: find(x) for x in root}
 
 
-def test_same_as_brute_force(docs, prose):
-    got = [tuple(r) for r in jaccard.similar(docs(prose), routes=12).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(prose, 0.5)
+def classes(rows, t, n=3):
+    """(doc_id, class_id, n_links) by comparing every pair of documents."""
+    own = sets(rows, n)
+    docs = sorted({(d, s) for (d, _), s in own.items()}, key=lambda x: (x[0], sorted(x[1])))
+    root = list(range(len(docs)))
 
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
 
-def test_recall_on_many_pairs(docs):
-    """Of pairs at and above the threshold, at least nine in ten are found with the usual routes; none is found that shouldn't."""
+    links = [0] * len(docs)
+    for i, (_, a) in enumerate(docs):
+        for j in range(i):
+            b = docs[j][1]
+            o = len(a & b)
+            if o >= t * (len(a) + len(b) - o):
+                links[i] += 1
+                links[j] += 1
+                root[find(i)] = find(j)
+    least = defaultdict(lambda: 2**63)
+    for i, (d, _) in enumerate(docs):
+        least[find(i)] = min(least[find(i)], d)
+    name = lambda d: None if d == -(2**63) else d
+    out = [(name(d), name(least[find(i)]), links[i]) for i, (d, _) in enumerate(docs)]
+    return out + [(d, d, 0) for d in {d for d, t, *_ in rows if not WORD.findall(t or "")}]
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, (3, 4)])
+@pytest.mark.parametrize("t", [0.5, 0.8])
+def test_same_as_brute_force(docs, prose, block, t):
+    """With the usual blocks, and with groups cut into many."""
+    assert rows_of(jaccard.similar(docs(prose), threshold=t, block=block)) == sorted(classes(prose, t), key=str)
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, (10, 20)])
+def test_no_link_is_lost(docs, block):
+    """Pairs about the threshold, a chain in which each text is like the next, a passage that is in every text, one group of many."""
     rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(40))
     rows = []
-    for g in range(150):
+    for g in range(80):
         base = [f"v{rng.randrange(3000)}" for _ in range(80)]
         for j in range(2):
             w = list(base)
             for _ in range(rng.randint(0, 14) * j):
                 w[rng.randrange(80)] = f"v{rng.randrange(3000)}"
-            rows.append((g * 10 + j, " ".join(w)))
-    got, want = {tuple(r) for r in jaccard.similar(docs(rows)).collect()}, brute(rows, 0.5)
-    assert got <= want and len(got) >= 0.9 * len(want) > 50
+            rows.append((g * 10 + j, " ".join(w) + " " + passage))
+    w = [f"c{i}" for i in range(60)]
+    for i in range(30):
+        rows.append((2000 + i, " ".join(w)))
+        w = w[6:] + [f"d{i}.{k}" for k in range(6)]
+    base = [f"h{rng.randrange(500)}" for _ in range(100)]
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(1, 20)):
+            w[rng.randrange(100)] = f"h{rng.randrange(500)}"
+        rows.append((3000 + i, " ".join(w)))
+    want = sorted(classes(rows, 0.5), key=str)
+    assert rows_of(jaccard.similar(docs(rows), block=block)) == want and sum(r[2] for r in want) > 500
 
 
 def test_tree_prunes_nothing_that_counts():
     rng = np.random.default_rng(2)
     sets_ = [np.unique(rng.integers(0, 2000, rng.integers(1, 120))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(150)]
     sets_ = [np.sort(s) for s in sets_ + [np.delete(s, slice(0, len(s) // 5)) for s in sets_[:60]]]
-    keys = np.arange(len(sets_))[:, None]
-    got = {(min(x, y), max(x, y)) for a, b, _ in jaccard.join_group(0, keys, sets_, 0.4) for x, y in zip(a, b)}
+    size = np.array([len(s) for s in sets_])
     every = [set(s.tolist()) for s in sets_]
-    want = {(i, j) for j in range(len(every)) for i in range(j) if every[i] and len(every[i] & every[j]) >= 0.4 * len(every[i] | every[j])}
+    like = lambda i, j: every[i] and len(every[i] & every[j]) >= 0.4 * len(every[i] | every[j])
+    got = {(min(x, y), max(x, y)) for a, b, _ in jaccard.join_group(sets_, size, 0.4) for x, y in zip(a, b)}
+    want = {(i, j) for j in range(len(every)) for i in range(j) if like(i, j)}
     assert got == want and len(want) > 40
-    examined = sum(len(a) for a, _ in jaccard.Tree(sets_).pairs(0.4))
-    assert examined < len(sets_) ** 2 / 4
+    assert sum(len(a) for a, _ in jaccard.Tree(sets_).pairs(0.4)) < len(sets_) ** 2 / 4
+    k = 160  # two lists of different lengths, so that their trees differ in height
+    got = {(x, y + k) for a, b, _ in jaccard.join_group(sets_[:k], size[:k], 0.4, sets_[k:], size[k:]) for x, y in zip(a, b)}
+    assert got == {(i, j) for i, j in want if i < k <= j} and got
+
+
+def test_packed():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        h = np.sort(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        i = rng.integers(0, 1 << 32, n).astype(np.uint32)
+        got = jaccard.unpacked(jaccard.packed(h, i))
+        assert (got[0] == h).all() and (got[1] == i).all() and len(jaccard.unpacked(jaccard.packed(h))) == 1
+
+
+def test_stars_over_batches():
+    import pandas as pd
+
+    rows = pd.DataFrame({"_h": [1, 1, 1, 2, 3, 3], "_a": [4, 5, 6, 7, 8, 9], "_b": pd.array([None] * 6, "Int64")})
+    want = [(5, 4), (6, 4), (9, 8)]
+    for cut in range(7):
+        frames = [rows.iloc[:cut], rows.iloc[cut:], pd.DataFrame({"_h": [9], "_a": [2], "_b": pd.array([1], "Int64")})]
+        assert sorted(tuple(r) for f in jaccard._stars(iter(frames)) for r in f.itertuples(index=False)) == sorted([*want, (2, 1)])
 
 
 def test_thinned_keeps_one_of_each_group(docs, prose):
     rows = [r for r in prose if r[0] is not None]
     group = groups(brute(rows, 0.5))
-    got = jaccard.thinned(docs(rows), routes=12)
+    got = jaccard.thinned(docs(rows))
     assert got.columns == docs([]).columns
     want = [(d, t) for d, t in rows if group.get(d, d) == d]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_thinned_tells_texts_of_one_id_apart(docs):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    got = jaccard.thinned(docs([(1, a), (2, a + " x"), (2, b), (None, b + " y"), (None, b + " z"), (3, a + " x"), (4, None), (None, None), (1, a)]))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (1, a), (None, b + " y"), (4, None), (None, None)], key=str)
+
+
+def test_another_order_is_an_error(docs):
+    import pandas as pd
+
+    live = jaccard._live(0.5)
+    blob = jaccard.packed(np.array([1], np.uint64), np.array([0], np.uint32), np.array([2], np.uint32))
+    row = lambda g, i, x=None: {"_c": 1, "_g": g, "_i": i, "_x": x, "_n": 1, "_r": 1, "_w": 1, "_m": 1}
+    for rows in ([row(5, -2), row(6, -1, blob)], [row(5, -1, blob)]):
+        with pytest.raises(ValueError):
+            list(live(iter([pd.DataFrame(rows)])))
+    assert len(list(live(iter([pd.DataFrame([row(5, -2), row(5, -1, blob), row(5, 0)])])))) == 1
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7)]
     random.Random(1).shuffle(edges)
@@ -100,6 +187,8 @@ def test_components_of_a_long_chain(spark):
 
 def test_nothing_to_join(docs):
     assert jaccard.similar(docs([])).count() == 0
-    rows = [(1, None), (2, ""), (3, " \n"), (None, None)]
-    assert jaccard.similar(docs(rows)).count() == 0
-    assert jaccard.thinned(docs(rows)).count() == 4 and jaccard.thinned(docs([])).count() == 0
+    rows = [(1, None), (2, ""), (3, " \n"), (None, None), (3, "")]
+    assert rows_of(jaccard.similar(docs(rows))) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (None, None, 0)]
+    assert jaccard.thinned(docs(rows)).count() == 5 and jaccard.thinned(docs([])).count() == 0
+    with pytest.raises(ValueError):
+        jaccard.similar(docs([]), threshold=0)
