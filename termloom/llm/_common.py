@@ -33,15 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of ids up to which a side of a join is broadcast; a larger one is shuffled.
-FEW = 1_000_000
-
-
-def few(df: DataFrame, limit: int = FEW) -> DataFrame:
-    """A materialised ``df`` of narrow rows, marked for broadcast if it has no more than ``limit`` of them."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def parts(df: DataFrame) -> int:
     """The session's shuffle width."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

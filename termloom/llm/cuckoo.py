@@ -3,10 +3,10 @@
 Digests are spread over buckets by their leading bits. A bucket keeps a cuckoo filter (two candidate slots groups of 4,
 16-bit fingerprints) beside its stored keys. A miss in the filter proves a digest new; a hit is looked up in the stored
 keys of its two groups. Digests can be deleted; when an insertion finds no place the filter doubles and is filled again
-from the stored keys. A digest that the keys confirm is then verified on the texts themselves, which are fetched for
-those documents only; should two texts share a digest they are told apart by their content.
+from the stored keys. Digests are verified on the texts themselves, of which each map task sends one copy; should two
+texts share a digest they are told apart by their content.
 
-Only (digest, doc_id) rows are shuffled to the buckets. The number of buckets follows the input, so that an index holds
+Only (digest, doc_id) rows are shuffled to the buckets, few for each digest. The number of buckets follows the input, so that an index holds
 some 100,000 digests at any scale.
 """
 
@@ -19,10 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, doc_id, documents, few, parts
+from ._common import cut, doc_id, documents, parts
 
 SLOTS, KICKS = 4, 200
 PER_BUCKET = 100_000
+#: Parts of a digest's rows, by id.
+SALT = 64
 
 
 class CuckooIndex:
@@ -92,8 +94,8 @@ class CuckooIndex:
         return True
 
 
-def apply_events(events: DataFrame, buckets: int) -> DataFrame:
-    """Events (_seq, _op '+' or '-', _d, _g binary) in order of ``_seq``: adds ``_first``, the live holder of the digest.
+def apply_events(events: DataFrame, buckets: int, *more: str) -> DataFrame:
+    """Events (_seq, _op '+' or '-', _d, _g binary) in order of ``_seq``: adds ``_first``, the live holder of the digest. ``more``: further bigint columns.
 
     An insertion of a digest that is live leaves it with its holder. A deletion takes effect only for the holder's id;
     the next insertion of the digest then becomes its holder.
@@ -115,12 +117,12 @@ def apply_events(events: DataFrame, buckets: int) -> DataFrame:
                 elif held == d:
                     index.delete(g)
                 first[i] = d if held is None else held
-            yield f[["_seq", "_op", "_d", "_g"]].assign(_first=first)
+            yield f[["_seq", "_op", "_d", "_g", *more]].assign(_first=first)
 
     bits = max(1, buckets).bit_length() - 1
     bucket = F.shiftright(F.conv(F.hex(F.substring("_g", 1, 3)), 16, 10).cast("int"), 24 - min(24, bits))
     ready = events.withColumn("_b", bucket).repartition(parts(events), "_b").sortWithinPartitions("_b", "_seq", "_d", "_g")
-    return ready.select("_b", "_seq", "_op", "_d", "_g").mapInPandas(run, "_seq bigint, _op string, _d bigint, _g binary, _first bigint")
+    return ready.select("_b", "_seq", "_op", "_d", "_g", *more).mapInPandas(run, ", ".join(["_seq bigint, _op string, _d bigint, _g binary", *[f"{c} bigint" for c in more], "_first bigint"]))
 
 
 def _digested(docs: DataFrame, digest_bytes: int, *more) -> DataFrame:
@@ -129,26 +131,28 @@ def _digested(docs: DataFrame, digest_bytes: int, *more) -> DataFrame:
     return documents(docs, *more).withColumn("_g", g)
 
 
-def _marked(docs: DataFrame, digest_bytes: int) -> DataFrame:
-    """(_d, _g, _first, kept, _n) for each row; ``_n``: rows with that id, digest and text. Texts of one digest that differ are told apart."""
-    thin = cut(_digested(docs, digest_bytes).select("_d", "_g"))
-    with_text = thin.filter(F.col("_g") != F.lit(b""))
+def _found(docs: DataFrame, digest_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows (_d, _g, _i, a number of its own); digests of several rows (_g, _first least id, _fi its row); digests that different texts share, or None.
+
+    A digest may be that of a third of all rows. Its rows are gathered by the map side of an aggregation, in ``SALT`` parts by
+    id, before they go to the index, and its texts before they are compared.
+    """
+    thin = cut(_digested(docs, digest_bytes).select("_d", "_g", F.monotonically_increasing_id().alias("_i")))
+    own = thin.filter(F.col("_g") != F.lit(b"")).groupBy("_g", F.pmod(F.xxhash64("_d"), F.lit(SALT)).alias("_salt")).agg(F.min(F.struct("_d", "_i")).alias("_f"), F.count("*").alias("_n"))
     buckets = 1 << max(0, int(np.ceil(np.log2(max(1, thin.count() / PER_BUCKET)))))
-    seen = cut(apply_events(with_text.select(F.col("_d").alias("_seq"), F.lit("+").alias("_op"), "_d", "_g"), buckets))
-    hits = seen.groupBy("_g").count().filter("count > 1").select("_g")
+    seen = apply_events(own.select(F.col("_f._d").alias("_seq"), F.lit("+").alias("_op"), F.col("_f._d").alias("_d"), "_g", F.col("_f._i").alias("_i"), "_n"), buckets, "_i", "_n")
+    hits = seen.groupBy("_g").agg(F.first("_first").alias("_first"), F.max(F.when(F.col("_d") == F.col("_first"), F.col("_i"))).alias("_fi"), F.sum("_n").alias("_n"))
+    hits = cut(hits.filter("_n > 1").select("_g", "_first", "_fi"))
     text = _digested(docs, digest_bytes).filter(F.col("text").isNotNull())
-    odd = cut(text.join(hits, "_g", "left_semi").groupBy("_g").agg(F.min("text").alias("_a"), F.max("text").alias("_z")).filter("_a <> _z").select("_g"))
-    own = Window.partitionBy("_g", "_d")
-    plain = seen if odd.isEmpty() else seen.join(odd, "_g", "left_anti")
-    plain = plain.withColumn("_r", F.row_number().over(own.orderBy("_seq"))).withColumn("_n", F.count("*").over(own))
-    out = plain.select("_d", "_g", "_first", ((F.col("_d") == F.col("_first")) & (F.col("_r") == 1)).alias("kept"), "_n", F.lit(None).cast("string").alias("_text"))
-    if not odd.isEmpty():
-        same = Window.partitionBy("_g", "text")
-        rest = text.join(odd, "_g", "left_semi").withColumn("_first", F.min("_d").over(same)).withColumn("_r", F.row_number().over(same.orderBy("_d")))
-        rest = rest.withColumn("_n", F.count("*").over(Window.partitionBy("_g", "text", "_d")))
-        out = out.unionByName(rest.select("_d", "_g", "_first", (F.col("_r") == 1).alias("kept"), "_n", F.col("text").alias("_text")))
-    nulls = thin.filter(F.col("_g") == F.lit(b""))
-    return out.unionByName(nulls.select("_d", "_g", F.col("_d").alias("_first"), F.lit(True).alias("kept"), F.lit(1).cast("bigint").alias("_n"), F.lit(None).cast("string").alias("_text")))
+    odd = cut(text.groupBy("_g").agg(F.size(F.collect_set("text")).alias("_k")).filter("_k > 1").select("_g"))
+    return thin, hits, None if odd.isEmpty() else odd
+
+
+def _told_apart(docs: DataFrame, odd: DataFrame, digest_bytes: int) -> DataFrame:
+    """(_d, _g, text, _first, _r): rows of the digests that different texts share; ``_r`` is 1 for the row of a text that is kept."""
+    same = Window.partitionBy("_g", "text")
+    rest = _digested(docs, digest_bytes).filter(F.col("text").isNotNull()).join(odd, "_g", "left_semi")
+    return rest.withColumn("_first", F.min("_d").over(same)).withColumn("_r", F.row_number().over(same.orderBy("_d")))
 
 
 def duplicates(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
@@ -159,7 +163,12 @@ def duplicates(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     Different texts under one id are told apart. An empty table gives no rows. Further columns are not read.
     ``digest_bytes``: below 16 only to force collisions in tests.
     """
-    return _marked(docs, digest_bytes).select(doc_id(), F.when(~F.col("kept"), doc_id("_first")).alias("dup_of"), "kept")
+    thin, hits, odd = _found(docs, digest_bytes)
+    plain = thin if odd is None else thin.join(odd, "_g", "left_anti")
+    plain = plain.join(hits, "_g", "left").select("_d", "_first", (F.col("_fi").isNull() | (F.col("_i") == F.col("_fi"))).alias("kept"))
+    if odd is not None:
+        plain = plain.unionByName(_told_apart(docs, odd, digest_bytes).select("_d", "_first", (F.col("_r") == 1).alias("kept")))
+    return plain.select(doc_id(), F.when(~F.col("kept"), doc_id("_first")).alias("dup_of"), "kept")
 
 
 def deduplicated(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
@@ -167,17 +176,22 @@ def deduplicated(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
 
     Of equal texts the least doc_id stays (null is the least); of rows that repeat id and text any one.
     """
-    marked = cut(_marked(docs, digest_bytes).filter("not kept or _n > 1").select("_d", "_g", "_first", "_n", "_text"))
+    thin, hits, odd = _found(docs, digest_bytes)
+    plain = thin if odd is None else thin.join(odd, "_g", "left_anti")
+    null = F.lit(None).cast("string").alias("_text")
+    rows = plain.join(hits, "_g").select("_d", "_g", "_first", null)
+    if odd is not None:
+        rows = rows.unionByName(_told_apart(docs, odd, digest_bytes).select("_d", "_g", "_first", F.col("text").alias("_text")))
+    rows = cut(rows)  # apart from what follows, so that the join's hot digests can be split
     full = _digested(docs, digest_bytes, F.struct("*").alias("row")).alias("f")
     same = lambda k: (F.col("f._d") == F.col(f"{k}._d")) & (F.col("f._g") == F.col(f"{k}._g")) & (F.col(f"{k}._text").isNull() | (F.col(f"{k}._text") == F.col("f.text")))
-    gone = few(marked.filter("_d <> _first").select("_d", "_g", "_text").distinct())
-    out = full.join(gone.alias("k"), same("k"), "left_anti")
-    again = marked.filter("_d = _first and _n > 1").select("_d", "_g", "_text").distinct()
+    gone = rows.filter("_d <> _first").select("_d", "_g", "_text").distinct()
+    again = rows.filter("_d = _first").groupBy("_d", "_g", "_text").count().filter("count > 1").select("_d", "_g", "_text")
+    again = cut(again)
     if again.isEmpty():  # no row repeats both
-        return out.select("row.*")
-    w = Window.partitionBy("_d", "_g", "text").orderBy(F.lit(1))
-    one = full.join(again.alias("a"), same("a"), "left_semi").withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    return out.join(again.alias("a"), same("a"), "left_anti").select("row.*").unionByName(one.select("row.*"))
+        return full.join(gone.alias("k"), same("k"), "left_anti").select("row.*")
+    one = full.join(again.alias("a"), same("a"), "left_semi").groupBy("_d", "_g", "text").agg(F.first("row").alias("row"))
+    return full.join(gone.unionByName(again).alias("k"), same("k"), "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 SQL = """

@@ -484,13 +484,33 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: tu
     return out.select(doc_id("_d").alias("doc_id"), doc_id("_class").alias("class_id"), "n_links")
 
 
+def _contracted(frames: Iterator[pd.DataFrame], most: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """Edges from each vertex to the least of its component, by pieces of ``most`` edges."""
+
+    def stars(held: list[pd.DataFrame]) -> pd.DataFrame:
+        e = np.concatenate([f.to_numpy(np.int64) for f in held])
+        v, at = np.unique(e, return_inverse=True)
+        at = at.reshape(e.shape)
+        label = v[merged(np.arange(len(v)), at[:, 0], at[:, 1])]
+        return pd.DataFrame({"_a": v[label != v], "_b": label[label != v]})
+
+    held: list[pd.DataFrame] = []
+    for f in frames:
+        held.append(f[["_a", "_b"]])
+        if sum(map(len, held)) >= most:
+            yield stars(held)
+            held = []
+    if held:
+        yield stars(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(_v, _root) for the vertices of ``edges`` (_a, _b): the least vertex of each connected component.
 
-    Every vertex points to its least neighbour, pointers are doubled until they stay, the edges are contracted to the
-    roots; this is repeated until no edge is left.
+    Each task first replaces its edges by stars (``_contracted``). Then every vertex points to its least neighbour, pointers
+    are doubled until they stay, the edges are contracted to the roots; this is repeated until no edge is left.
     """
-    edges = cut(edges.filter("_a <> _b").select("_a", "_b").distinct())
+    edges = cut(edges.filter("_a <> _b").select("_a", "_b").distinct().mapInPandas(_contracted, "_a bigint, _b bigint"))
     label = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
