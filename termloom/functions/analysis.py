@@ -7,10 +7,14 @@ of its tokens after stop words; terms of one character or of 128 and more are th
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterable
+import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,19 +76,69 @@ def doc_lengths(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
     return tokenised(docs, analyzer).select("doc_id", "doc_len")
 
 
+TERMS = "array<struct<term:string,tf:int,doc_len:int>>"
+_TERM = pa.struct([("term", pa.string()), ("tf", pa.int32()), ("doc_len", pa.int32())])
+
+
+def _pieces(lists: pa.ListArray, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """(first row, lengths of the rows, their values) in pieces of about ``most`` values; a row is never cut."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    at = lists.offsets.to_numpy()
+    begin = 0
+    while begin < len(lists):
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
+        yield begin, np.diff(at[begin : end + 1]), lists.values.slice(at[begin], at[end] - at[begin])
+        begin = end
+
+
+def _coded(tokens: pa.Array, roots: Callable[[pd.Series], pd.Series] | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Numbers of the tokens' terms, the terms in order, and which of them are neither too short nor too long."""
+    d = tokens.dictionary_encode()
+    code, words = d.indices.to_numpy(zero_copy_only=False), d.dictionary
+    if roots is not None and len(words):
+        r = pa.array(roots(words.to_pandas()), pa.string()).dictionary_encode()
+        code, words = r.indices.to_numpy(zero_copy_only=False)[code], r.dictionary
+    order = pc.sort_indices(words).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    words = words.take(pa.array(order))
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    return rank[code], words, (size >= SHORTEST) & (size <= LONGEST)
+
+
+def _counting(analyzer: Analyzer):
+    roots = analyzer.roots
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, length, tokens in _pieces(batch.column("tokens")):
+                code, words, fits = _coded(tokens, roots)
+                doc, wide = np.repeat(np.arange(len(length)), length), max(1, len(words))
+                ok = fits[code]
+                key, tf = np.unique(doc[ok] * wide + code[ok], return_counts=True)
+                doc = key // wide
+                terms = pa.StructArray.from_arrays([words.take(pa.array(key % wide)), pa.array(tf, pa.int32()), pa.array(length[doc], pa.int32())], fields=list(_TERM))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(length) + 1)), pa.int32()), terms)
+                rest = batch.slice(begin, len(length)).drop_columns(["tokens"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(length, pa.int32()), lists], names=[*rest.schema.names, "doc_len", "terms"])
+
+    return run
+
+
+def counted(docs: DataFrame, analyzer: Analyzer, *more: str) -> DataFrame:
+    """(doc_id, columns ``more``, doc_len, terms array<struct<term, tf, doc_len>>): each row of ``docs`` with its terms in order, without a shuffle.
+
+    Tokens come from the analyzer's expressions; roots are looked up and terms counted batch by batch in Arrow arrays.
+    """
+    tokens = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *more, analyzer.array(F.col("text")).alias("tokens"))
+    schema = ", ".join(f"`{n}` {t}" for n, t in tokens.drop("tokens").dtypes)
+    return tokens.mapInArrow(_counting(analyzer), f"{schema}, doc_len int, terms {TERMS}")
+
+
 def term_counts(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """Postings (term, doc_id, tf, doc_len). One shuffle, on (doc_id, term), after partial counts on the map side."""
-    words = tokenised(docs, analyzer).select("doc_id", "doc_len", F.explode("tokens").alias("term"))
-    if analyzer.roots is not None:
-        words = words.groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("_n"))
-        roots = analyzer.roots
-        root = F.pandas_udf(lambda s: roots(s), "string")
-        vocabulary = words.select("term").distinct().withColumn("root", root("term"))
-        words = words.join(vocabulary, "term").select("doc_id", "doc_len", F.col("root").alias("term"), "_n")
-    else:
-        words = words.withColumn("_n", F.lit(1))
-    words = words.filter(F.length("term").between(SHORTEST, LONGEST))
-    return words.groupBy("term", "doc_id", "doc_len").agg(F.sum("_n").cast("int").alias("tf")).select("term", "doc_id", "tf", "doc_len")
+    """Postings (term, doc_id, tf, doc_len), without a shuffle: a row for each term of a row of ``docs``."""
+    return inverted(counted(docs, analyzer)).select("term", "doc_id", "tf", "doc_len")
 
 
 def doc_statistics(postings: DataFrame) -> DataFrame:
@@ -102,34 +156,54 @@ def inverted(forward_: DataFrame) -> DataFrame:
     return forward_.select("doc_id", F.explode("terms").alias("t")).select("t.term", "doc_id", "t.tf", "t.doc_len")
 
 
+def _closeness(analyzer: Analyzer, distance: int, ratio: float):
+    unit, roots = math.lcm(*range(1, distance + 1)), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            sentences = batch.column("sentences")
+            for begin, count, own in _pieces(sentences, 20_000):
+                length = np.diff(own.offsets.to_numpy())
+                tokens = own.flatten()
+                code, words, fits = _coded(tokens, roots)
+                wide = max(1, len(words))
+                sentence = np.repeat(np.arange(len(length)), length)
+                doc = np.repeat(np.arange(len(count)), count)[sentence] if len(length) else np.zeros(0, np.int64)
+                key, at, f = np.unique(doc * wide + code, return_inverse=True, return_counts=True)
+                ok = fits[key % wide]
+                n = np.bincount(key[ok] // wide, minlength=len(count))  # distinct terms of a document
+                often = (ok & (f > 1))[at]
+                pairs, weight = [], []
+                for d in range(1, distance + 1):
+                    i = np.flatnonzero(often[:-d] & often[d:] & (sentence[:-d] == sentence[d:]) & (code[:-d] != code[d:])) if len(code) > d else np.zeros(0, np.int64)
+                    x, y = code[i], code[i + d]
+                    pairs.append((doc[i] * wide + np.minimum(x, y)) * wide + np.maximum(x, y))
+                    weight.append(np.full(len(i), unit // d))
+                pair, of = np.unique(np.concatenate(pairs), return_inverse=True)
+                c = np.bincount(of, np.concatenate(weight), minlength=len(pair)) / float(unit)
+                first, y = pair // wide, pair % wide
+                d, x = first // wide, first % wide
+                mean = np.sqrt((f[np.searchsorted(key, first)] * f[np.searchsorted(key, d * wide + y)]).astype(np.float64))
+                c2 = c * c
+                importance = c2 * c2 * (c2 * c2) * c2 * mean
+                order = np.lexsort((pair, -importance, d))
+                rank = np.arange(len(order)) - np.searchsorted(d[order], d[order])
+                keep = order[rank < np.floor(n * float(ratio))[d[order]]]
+                shingle = pc.binary_join_element_wise(words.take(pa.array(x[keep])), words.take(pa.array(y[keep])), "%")
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(begin + d[keep])), shingle, pa.array(np.floor(mean[keep] + 0.5).astype(np.int64)), pa.array(importance[keep])], names=["doc_id", "shingle", "tf", "importance"])
+
+    return run
+
+
 def shingles(docs: DataFrame, analyzer: Analyzer, distance: int = 10, ratio: float = 1.0) -> DataFrame:
     """(doc_id, shingle, tf, importance): pairs of terms that stay close within sentences.
 
     Connectedness is the sum of 1/distance over the places where two different terms are at most ``distance`` words
     apart in a sentence, exact in units of 1/lcm. Both terms must occur more than once in the document. Importance is
-    connectedness^10 * sqrt(f1 f2); the best (distinct terms * ratio) of a document stay, ties by shingle. Partners of
-    a word come from its own sentence array, so nothing is joined to find pairs.
+    connectedness^10 * sqrt(f1 f2); the best (distinct terms * ratio) of a document stay, ties by shingle. A document's
+    sentences travel as one row and its pairs are counted in arrays: nothing is shuffled.
     """
-    import math
-
-    from pyspark.sql import Window
-
-    unit = math.lcm(*range(1, distance + 1))
-    fits = lambda t: F.length(t).between(SHORTEST, LONGEST)
-    sentence = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split("text", r"[.!?\n]+")).alias("_s", "_text"))
-    sentence = sentence.select("doc_id", analyzer.array(F.col("_text")).alias("_w"))
-    near = sentence.select("doc_id", "_w", F.posexplode("_w").alias("_i", "_a"))
-    near = near.select("doc_id", "_a", F.posexplode(F.slice("_w", F.col("_i") + 2, F.lit(distance))).alias("_d", "_b")).filter(fits(F.col("_a")) & fits(F.col("_b")) & (F.col("_a") != F.col("_b")))
-    pairs = near.groupBy("doc_id", F.least("_a", "_b").alias("_x"), F.greatest("_a", "_b").alias("_y")).agg(F.sum(F.expr(f"{unit} div (_d + 1)")).alias("_c"))
-    tf = sentence.select("doc_id", F.explode("_w").alias("term")).filter(fits(F.col("term"))).groupBy("doc_id", "term").agg(F.count("*").alias("_f"))
-    n = tf.groupBy("doc_id").agg(F.count("*").alias("_n"))
-    often = tf.filter("_f > 1")
-    both = pairs.join(often.select("doc_id", F.col("term").alias("_x"), F.col("_f").alias("_fx")), ["doc_id", "_x"])
-    both = both.join(often.select("doc_id", F.col("term").alias("_y"), F.col("_f").alias("_fy")), ["doc_id", "_y"]).join(n, "doc_id")
-    mean = F.sqrt((F.col("_fx") * F.col("_fy")).cast("double"))
-    c = F.col("_c") / F.lit(float(unit))
-    both = both.withColumn("_c2", c * c)
-    tenth = F.col("_c2") * F.col("_c2") * (F.col("_c2") * F.col("_c2")) * F.col("_c2")  # the same in any engine, unlike pow
-    out = both.select("doc_id", "_n", F.concat_ws("%", "_x", "_y").alias("shingle"), F.round(mean).cast("bigint").alias("tf"), (tenth * mean).alias("importance"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("importance"), "shingle"))
-    return out.withColumn("_r", rank).filter(F.col("_r") <= F.floor(F.col("_n") * F.lit(float(ratio)))).select("doc_id", "shingle", "tf", "importance")
+    sentences = F.transform(F.split("text", r"[.!?\n]+"), analyzer.array)
+    own = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), sentences.alias("sentences"))
+    return own.mapInArrow(_closeness(analyzer, distance, ratio), "doc_id bigint, shingle string, tf bigint, importance double")

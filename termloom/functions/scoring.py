@@ -12,10 +12,10 @@ K1, B, AVERAGE = 1.2, 0.75, 1000.0
 STEPS = 65535
 
 
-def okapi(tf: Column, doc_len: Column) -> Column:
+def okapi(tf: Column, doc_len: Column, k1: float = K1, b: float = B, average: float = AVERAGE) -> Column:
     """Term-frequency part of BM25 with a fixed average length, so that it can be stored at indexing time."""
     tf = tf.cast("double")
-    return tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * doc_len / F.lit(AVERAGE)))
+    return tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * doc_len / F.lit(average)))
 
 
 def bm_like(tf: Column, doc_len: Column) -> Column:
@@ -46,6 +46,11 @@ class Measure:
     score: Callable[[Column, Column], Column]
 
 
+
+def okapi_of(k1: float, b: float, average: float) -> Measure:
+    return Measure("okapi", lambda tf, doc_len: okapi(tf, doc_len, k1, b, average))
+
+
 OKAPI, BM_LIKE = Measure("okapi", okapi), Measure("bm_like", bm_like)
 #: A score that is stored as it is, in the postings' column ``tf``.
 FLOAT = Measure("float", lambda tf, doc_len: tf.cast("double"))

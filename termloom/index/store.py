@@ -1,34 +1,50 @@
-"""A persisted index: immutable generations of Parquet tables named by a versioned manifest.
+"""A persisted index: immutable generations of tables named by a versioned manifest.
 
-    root/manifest-000007.json          the highest number is the index; written once, never changed
-    root/gen-<id>/documents            doc_id, ext_id, doc_len, terms
-    root/gen-<id>/postings             term, doc_id, tf, doc_len; range-partitioned and sorted by (term, doc_id)
-    root/gen-<id>/lexicon              term, df
-    root/tombstones-<id>               doc_id
+    root/manifest-000000000007.json    the highest number is the index; written once, never changed
+    root/gen-<seq>-<id>/documents      doc_id, ext_id, doc_len, terms, gen
+    root/gen-<seq>-<id>/postings       term, doc_id, tf, doc_len, gen; range-partitioned and sorted by (term, doc_id)
+    root/gen-<seq>-<id>/lexicon        term, df
+    root/tombstones-<id>               doc_id, below: hides that document in generations before ``below``
+    root/readers/<version>-<id>        a search that still reads that version
 
 Data is written first; the commit is the creation of the next manifest, which fails if another writer made it. A reader
-keeps the manifest it opened, so it sees one state whatever is committed meanwhile. A term's filter reaches the Parquet
-scan, where sorting lets it skip all row groups but those of the term.
+keeps the manifest it opened, so it sees one state whatever is committed meanwhile. A term's filter reaches the scan,
+where sorting lets it skip all row groups but those of the term.
+
+Adding reads the texts once: documents are written as they are analysed, without a shuffle, and postings are made of them
+in one shuffle. An id that the index has is replaced: its older version is hidden. Counts are kept in the manifest.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analysis import ANALYZERS, Analyzer, forward, term_counts
-from ..functions.scoring import MEASURES, Measure
-from ..operators.postings import blocks, lexicon
+from ..config import Config
+from ..functions.analysis import ANALYZERS, TERMS, Analyzer, counted, inverted
+from ..functions.scoring import MEASURES, Measure, okapi_of
+from ..metrics import Metrics
+from ..operators.postings import blocks, hidden, lexicon, live
 from ..operators.search import Searcher
+from .tables import Files, Store
+
+DOCUMENTS = f"doc_id bigint, ext_id string, doc_len int, terms {TERMS}, gen int"
+POSTINGS = "term string, doc_id bigint, tf int, doc_len int, gen int"
+LEXICON = "term string, df bigint"
+TOMBSTONES = "doc_id bigint, below int"
+#: Seconds after which a reader is taken for dead.
+LEASE = 86_400
 
 
 class IndexError_(RuntimeError):
-    """The index isn't there, is read-only, or doesn't suit."""
+    """The index isn't there, is read-only or closed, or doesn't suit."""
 
 
 class Conflict(IndexError_):
@@ -43,222 +59,320 @@ class Manifest:
     stop_words: tuple[str, ...] = ()
     generations: tuple[dict, ...] = ()
     tombstones: tuple[str, ...] = ()
+    #: Documents of the generations that tombstones hide.
+    deleted: int = 0
     next_id: int = 1
-    batches: tuple[str, ...] = ()
-
-
-class _Files:
-    """The file system of a path, whatever Spark can write to."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        jvm = spark._jvm
-        self.path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self.fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.jvm = jvm
-        self.root = root
-
-    def exists(self, p: str) -> bool:
-        return self.fs.exists(self.path(p))
-
-    def delete(self, p: str) -> None:
-        self.fs.delete(self.path(p), True)
-
-    def create(self, p: str, text: str) -> bool:
-        """False if the file is there already."""
-        self.fs.mkdirs(self.path(self.root))
-        whole = f"{p}.{uuid.uuid4().hex}.tmp"
-        out = self.fs.create(self.path(whole), False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if self.exists(p) or not self.fs.rename(self.path(whole), self.path(p)):
-            self.delete(whole)
-            return False
-        return True
+    next_gen: int = 1
+    #: Number of the last batch of each stream.
+    streams: dict = field(default_factory=dict)
+    settings: dict = field(default_factory=dict)
 
-    def read(self, p: str) -> str:
-        stream = self.fs.open(self.path(p))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def names(self, p: str) -> list[str]:
-        return [s.getPath().getName() for s in self.fs.listStatus(self.path(p))] if self.exists(p) else []
+    @property
+    def documents(self) -> int:
+        return sum(g["docs"] for g in self.generations) - self.deleted
 
 
 class Index:
     """An open index. Commits return nothing and move this object to the new state."""
 
-    def __init__(self, spark: SparkSession, root: str, manifest: Manifest, analyzer: Analyzer, read_only: bool):
-        self.spark, self.root, self.manifest, self.analyzer, self.read_only = spark, root.rstrip("/"), manifest, analyzer, read_only
-        self.measure: Measure = MEASURES[manifest.measure]
+    def __init__(self, store: Store, manifest: Manifest, analyzer: Analyzer, read_only: bool, config: Config, metrics: Metrics | None = None):
+        self.store, self.spark, self.manifest, self.analyzer, self.read_only, self.config = store, store.spark, manifest, analyzer, read_only, config
+        self.metrics, self.closed = metrics or Metrics(), False
+        s = manifest.settings
+        self.measure: Measure = okapi_of(s["k1"], s["b"], s["average_length"]) if manifest.measure == "okapi" and s else MEASURES[manifest.measure]
+
+    @staticmethod
+    def _store(spark: SparkSession, root: str | Store, config: Config) -> Store:
+        return Files(spark, root, config.format) if isinstance(root, str) else root
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, analyzer: str = "simple", measure: str = "okapi", stop_words: Iterable[str] | None = None, overwrite: bool = False) -> Index:
-        """A new, empty index. One that is there is replaced with ``overwrite``, else it is an error."""
-        files = _Files(spark, root)
-        if cls._last(files, root) is not None:
+    def create(cls, spark: SparkSession, root: str | Store, analyzer: str = "simple", measure: str = "okapi", stop_words: Iterable[str] | None = None, overwrite: bool = False, config: Config | None = None, metrics: Metrics | None = None) -> Index:
+        """A new, empty index. One that is there is replaced with ``overwrite``, else it is an error. ``root``: a folder, or a store of another kind."""
+        config = config or Config.from_session(spark)
+        store = cls._store(spark, root, config)
+        if cls._last(store) is not None:
             if not overwrite:
                 raise IndexError_(f"there is an index in {root}")
-            files.delete(root)
+            store.delete()
         own = ANALYZERS[analyzer]() if stop_words is None else ANALYZERS[analyzer](stop_words)
         MEASURES[measure]
-        m = Manifest(1, analyzer, measure, own.stop_words)
-        cls._write(files, root, m)
-        return cls(spark, root, m, own, False)
+        m = Manifest(1, analyzer, measure, own.stop_words, settings={k: getattr(config, k) for k in ("k1", "b", "average_length")})
+        cls._write(store, m)
+        return cls(store, m, own, False, config, metrics)
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, analyzer: str | None = None, measure: str | None = None, read_only: bool = False, create: bool = False) -> Index:
+    def open(cls, spark: SparkSession, root: str | Store, analyzer: str | None = None, measure: str | None = None, read_only: bool = False, create: bool = False, config: Config | None = None, metrics: Metrics | None = None) -> Index:
         """The last committed state. An analyzer or measure other than the index was made with is an error."""
-        files = _Files(spark, root)
-        last = cls._last(files, root)
+        config = config or Config.from_session(spark)
+        store = cls._store(spark, root, config)
+        last = cls._last(store)
         if last is None:
             if create and not read_only:
-                return cls.create(spark, root, analyzer or "simple", measure or "okapi")
+                return cls.create(spark, store, analyzer or "simple", measure or "okapi", config=config, metrics=metrics)
             raise IndexError_(f"no index in {root}")
-        raw = json.loads(files.read(f"{root}/{last}"))
-        m = Manifest(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
+        m = cls._manifest(store, last)
         for what, given, has in (("analyzer", analyzer, m.analyzer), ("measure", measure, m.measure)):
             if given is not None and given != has:
                 raise IndexError_(f"the index was made with {what} {has}, not {given}")
-        return cls(spark, root, m, ANALYZERS[m.analyzer](m.stop_words), read_only)
+        return cls(store, m, ANALYZERS[m.analyzer](m.stop_words), read_only, config, metrics)
 
     @staticmethod
-    def _last(files: _Files, root: str) -> str | None:
-        return max((n for n in files.names(root) if n.startswith("manifest-") and n.endswith(".json")), default=None)
+    def _last(store: Store) -> str | None:
+        return max((n for n in store.names() if n.startswith("manifest-") and n.endswith(".json")), default=None)
 
     @staticmethod
-    def _write(files: _Files, root: str, m: Manifest) -> None:
-        if not files.create(f"{root}/manifest-{m.version:012d}.json", json.dumps(m.__dict__)):
-            raise Conflict(f"version {m.version} of {root} is there already")
+    def _manifest(store: Store, name: str) -> Manifest:
+        return Manifest(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(store.text(name)).items()})
 
-    def _commit(self, **changes) -> None:
-        if self.read_only:
+    @staticmethod
+    def _write(store: Store, m: Manifest) -> None:
+        if not store.create(f"manifest-{m.version:012d}.json", json.dumps(asdict(m))):
+            raise Conflict(f"version {m.version} is there already")
+
+    def _open(self, write: bool = False) -> None:
+        if self.closed:
+            raise IndexError_("the index is closed")
+        if write and self.read_only:
             raise IndexError_("opened read-only")
+
+    def _commit(self, **changes) -> None:
+        self._open(write=True)
         m = replace(self.manifest, version=self.manifest.version + 1, **changes)
-        self._write(_Files(self.spark, self.root), self.root, m)
+        self._write(self.store, m)
         self.manifest = m
 
-    def _read(self, table: str, schema: str) -> DataFrame:
-        paths = [f"{self.root}/{g['id']}/{table}" for g in self.manifest.generations]
-        return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    # ------------------------------------------------------------------ reading
+
+    def _read(self, table: str, schema: str, generations: Iterable[dict] | None = None) -> DataFrame:
+        self._open()
+        own = self.manifest.generations if generations is None else generations
+        return self.store.read([f"{g['id']}/{table}" for g in own], schema)
 
     def postings(self) -> DataFrame:
-        return self._read("postings", "term string, doc_id bigint, tf int, doc_len int")
+        """(term, doc_id, tf, doc_len, gen), deleted documents included."""
+        return self._read("postings", POSTINGS)
 
     def documents(self) -> DataFrame:
-        return self._read("documents", "doc_id bigint, ext_id string, doc_len int, terms array<struct<term:string,tf:int,doc_len:int>>")
+        """(doc_id, ext_id, doc_len, terms, gen), deleted ones included."""
+        return self._read("documents", DOCUMENTS)
 
     def lexicon(self) -> DataFrame:
         """(term, df), deleted documents included."""
-        return self._read("lexicon", "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+        return self._read("lexicon", LEXICON).groupBy("term").agg(F.sum("df").alias("df"))
 
     def tombstones(self) -> DataFrame | None:
+        """(doc_id, below), or None."""
+        self._open()
         if not self.manifest.tombstones:
             return None
-        return self.spark.read.parquet(*[f"{self.root}/{t}" for t in self.manifest.tombstones]).distinct()
+        return self.store.read(list(self.manifest.tombstones), TOMBSTONES).groupBy("doc_id").agg(F.max("below").alias("below"))
 
     def searcher(self) -> Searcher:
-        return Searcher(self.postings(), self.documents().select("doc_id"), self.tombstones(), self.measure, self.lexicon())
+        """A snapshot; its number of documents is that of the manifest."""
+        return Searcher(self.postings(), self.documents().select("doc_id", "gen"), self.tombstones(), self.measure, self.lexicon(), self.manifest.documents)
 
     def search(self, clause, k: int = 10, **how) -> DataFrame:
-        return self.searcher().search(clause, k, **how)
+        with self.metrics.timed("compile_query"):
+            return self.searcher().search(clause, k, **how)
+
+    def execute(self, clause, k: int = 10, **how) -> list:
+        """The rows of ``search``, timed, under a lease that keeps the version from being vacuumed."""
+        with self.reading(), self.metrics.timed("execute_query"):
+            rows = self.search(clause, k, **how).collect()
+        self.metrics.count("queries")
+        return rows
+
+    @contextmanager
+    def reading(self) -> Iterator[Index]:
+        """While this is open, ``vacuum`` keeps this version, and ``close`` waits for it."""
+        self._open()
+        name = f"readers/{self.manifest.version}-{uuid.uuid4().hex}"
+        self.store.create(name, "")
+        try:
+            yield self
+        finally:
+            self.store.delete(name)
+
+    def _readers(self) -> set[int]:
+        names = [n for n in self.store.names("readers") if not n.startswith(".") and not n.endswith(".tmp")]
+        out = set()
+        for n in names:
+            try:
+                if self.store.age(f"readers/{n}") < LEASE:
+                    out.add(int(n.split("-")[0]))
+            except Exception as e:  # noqa: BLE001 - ended meanwhile
+                if "FileNotFound" not in str(e):
+                    raise
+        return out
+
+    def close(self) -> bool:
+        """Waits up to ``wait_on_close`` seconds for searches of this version; then this object refuses all work. Whether none was left."""
+        until = time.monotonic() + self.config.wait_on_close
+        while busy := self.manifest.version in self._readers():
+            if time.monotonic() >= until:
+                break
+            time.sleep(0.05)
+        self.closed = True
+        return not busy
 
-    def add(self, docs: DataFrame, batch: str | None = None) -> bool:
-        """Adds ``docs`` (text, and doc_id or ext_id or both) as a generation. A batch that was added before is passed over: False.
+    def get_document(self, doc_id: int, include_deleted: bool = False) -> DataFrame:
+        """(doc_id, ext_id, doc_len, terms) of the document, no row if there is none; with ``include_deleted`` all its versions."""
+        out = self.documents().filter(F.col("doc_id") == doc_id)
+        return (out if include_deleted else live(out, self.tombstones())).drop("gen")
+
+    def statistics(self) -> dict:
+        m = self.manifest
+        return {"docs": m.documents, "deleted": m.deleted, "postings": sum(g["postings"] for g in m.generations), "generations": len(m.generations), "next_id": m.next_id}
+
+    def blocks(self, size: int | None = None) -> DataFrame:
+        return blocks(self.postings(), self.measure, size or self.config.block, self.tombstones())
+
+    # ------------------------------------------------------------------ writing
+
+    def _laid(self, documents: DataFrame, where: str, gen: int) -> dict:
+        """Writes a generation: (doc_id, ext_id, doc_len, terms) as they come, then their postings and lexicon. Returns its numbers."""
+        seen = Observation()
+        rows = documents.select("doc_id", "ext_id", "doc_len", "terms", F.lit(gen).alias("gen"))
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("docs"), F.sum(F.size("terms")).alias("postings"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.sum("doc_len").alias("tokens"))
+        with self.metrics.timed("write_documents"):
+            self.store.write(rows, f"{where}/documents")
+        n = {k: v or 0 for k, v in seen.get.items()}
+        if not n["docs"] or n["nulls"]:
+            return n
+        width = self.config.width or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        stored = self.store.read([f"{where}/documents"], DOCUMENTS)
+        p = inverted(stored).withColumn("gen", F.lit(gen))
+        with self.metrics.timed("write_postings"):
+            self.store.write(p.repartitionByRange(width, "term", "doc_id").sortWithinPartitions("term", "doc_id"), f"{where}/postings")
+        with self.metrics.timed("write_lexicon"):
+            p = self.store.read([f"{where}/postings"], POSTINGS)
+            self.store.write(lexicon(p).repartitionByRange(max(1, width // 4), "term").sortWithinPartitions("term"), f"{where}/lexicon")
+        return n
+
+    def add(self, docs: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+        """Adds ``docs`` (text, and doc_id or ext_id or both) as a generation. ``batch``: (stream, number); one that was added before is passed over: False.
 
-        Documents without a doc_id are numbered after all that there are; the numbers have gaps.
+        A doc_id that the index has is replaced. One that is null, or that ``docs`` has twice, is an error, and nothing is
+        added. Documents without a doc_id are numbered after all that there are; the numbers have gaps.
         """
-        if self.read_only:
-            raise IndexError_("opened read-only")
-        if batch is not None and batch in self.manifest.batches:
+        self._open(write=True)
+        m = self.manifest
+        if batch is not None and batch[1] <= m.streams.get(batch[0], -1):
             return False
-        name = f"gen-{batch or uuid.uuid4().hex}" if batch is None else f"gen-batch-{batch}-{uuid.uuid4().hex[:8]}"
-        where = f"{self.root}/{name}"
+        streams = m.streams if batch is None else {**m.streams, batch[0]: int(batch[1])}
+        gen = m.next_gen
+        where = f"gen-{gen:08d}-{uuid.uuid4().hex}"
+        given = "doc_id" in docs.columns
         ext = F.col("ext_id").cast("string") if "ext_id" in docs.columns else F.col("doc_id").cast("string")
-        if "doc_id" in docs.columns:
-            rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), ext.alias("ext_id"), "text")
-        else:
-            # Numbered rows are kept, so that both tables below see the same numbers.
-            docs.select(ext.alias("ext_id"), "text").withColumn("doc_id", F.monotonically_increasing_id() + self.manifest.next_id).write.parquet(f"{where}/_numbered")
-            rows = self.spark.read.parquet(f"{where}/_numbered")
-        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        term_counts(rows, self.analyzer).repartitionByRange(width, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{where}/postings")
-        p = self.spark.read.parquet(f"{where}/postings")
-        lexicon(p).repartitionByRange(max(1, width // 4), "term").sortWithinPartitions("term").write.parquet(f"{where}/lexicon")
-        d = rows.select("doc_id", "ext_id", F.size(self.analyzer.array(F.col("text"))).alias("doc_len")).join(forward(p), "doc_id", "left")
-        d.select("doc_id", "ext_id", "doc_len", F.coalesce("terms", F.array().cast("array<struct<term:string,tf:int,doc_len:int>>")).alias("terms")).write.parquet(f"{where}/documents")
-        if "doc_id" not in docs.columns:
-            _Files(self.spark, self.root).delete(f"{where}/_numbered")
-        stats = self.spark.read.parquet(f"{where}/documents").agg(F.count("*").alias("n"), F.max("doc_id").alias("m")).first()
-        n = p.count()
-        self._commit(generations=(*self.manifest.generations, {"id": name, "docs": stats.n, "postings": n}), next_id=max(self.manifest.next_id, (stats.m or 0) + 1), batches=self.manifest.batches if batch is None else (*self.manifest.batches, batch))
+        id_ = F.col("doc_id").cast("bigint") if given else F.monotonically_increasing_id() + m.next_id
+        rows = docs.select(id_.alias("doc_id"), ext.alias("ext_id"), F.col("text").cast("string").alias("text"))
+        with self.metrics.timed("add"):
+            n = self._laid(counted(rows, self.analyzer, "ext_id"), where, gen)
+            if not n["docs"]:
+                self.store.delete(where)
+                if batch is not None:
+                    self._commit(streams=streams)
+                return True
+            own = self.store.read([f"{where}/documents"], DOCUMENTS).select("doc_id")
+            if n["nulls"] or (given and not own.groupBy("doc_id").count().filter("count > 1").isEmpty()):
+                self.store.delete(where)
+                raise IndexError_(f"{n['nulls']} documents without a doc_id" if n["nulls"] else "a doc_id comes twice")
+            tombstones, replaced = m.tombstones, 0
+            if given:
+                name, replaced = self._hide(own, gen, n["low"], n["high"])
+                tombstones = (*tombstones, name) if replaced else tombstones
+            size = {"id": where, "gen": gen, "docs": n["docs"], "postings": n["postings"], "low": n["low"], "high": n["high"]}
+            self._commit(generations=(*m.generations, size), tombstones=tombstones, deleted=m.deleted + replaced, next_id=max(m.next_id, n["high"] + 1), next_gen=gen + 1, streams=streams)
+        for k in ("docs", "postings", "tokens"):
+            self.metrics.count(f"added_{k}", n[k])
+        self.metrics.count("replaced_docs", replaced)
         return True
 
+    def _hide(self, ids: DataFrame, below: int, low: int | None = None, high: int | None = None) -> tuple[str, int]:
+        """Tombstones for those of ``ids`` that are live; only generations whose ids reach into the range are read."""
+        near = [g for g in self.manifest.generations if low is None or (g["low"] <= high and g["high"] >= low)]
+        if not near:
+            return "", 0
+        known = live(self._read("documents", DOCUMENTS, near).select("doc_id", "gen"), self.tombstones())
+        if low is not None:
+            known = known.filter(F.col("doc_id").between(low, high))
+        name, seen = f"tombstones-{uuid.uuid4().hex}", Observation()
+        new = known.select("doc_id").join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lit(below).alias("below"))
+        self.store.write(new.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        n = seen.get["n"] or 0
+        if not n:
+            self.store.delete(name)
+        return name, n
+
     def remove(self, ids: DataFrame | Iterable[int], strict: bool = False) -> int:
         """Marks documents deleted; those deleted before don't count. ``strict`` raises for an id that isn't there. Returns how many were marked."""
-        if self.read_only:
-            raise IndexError_("opened read-only")
+        self._open(write=True)
         if not isinstance(ids, DataFrame):
             ids = self.spark.createDataFrame([(int(i),) for i in ids], "doc_id bigint")
         ids = ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-        known = self.documents().select("doc_id")
-        if strict and not ids.join(known, "doc_id", "left_anti").isEmpty():
+        if strict and not ids.join(self.documents().select("doc_id"), "doc_id", "left_anti").isEmpty():
             raise IndexError_("some ids are not in the index")
-        new = ids.join(known, "doc_id", "left_semi")
-        if (gone := self.tombstones()) is not None:
-            new = new.join(gone, "doc_id", "left_anti")
-        name = f"tombstones-{uuid.uuid4().hex}"
-        new.write.parquet(f"{self.root}/{name}")
-        n = self.spark.read.parquet(f"{self.root}/{name}").count()
-        if n:
-            self._commit(tombstones=(*self.manifest.tombstones, name))
+        with self.metrics.timed("remove"):
+            name, n = self._hide(ids, self.manifest.next_gen)
+            if n:
+                self._commit(tombstones=(*self.manifest.tombstones, name), deleted=self.manifest.deleted + n, next_gen=self.manifest.next_gen + 1)
+        self.metrics.count("removed_docs", n)
         return n
 
-    def get_document(self, doc_id: int, include_deleted: bool = False) -> DataFrame:
-        """(doc_id, ext_id, doc_len, terms) of the document, no row if there is none."""
-        out = self.documents().filter(F.col("doc_id") == doc_id)
-        gone = self.tombstones()
-        return out if include_deleted or gone is None else out.join(gone, "doc_id", "left_anti")
-
-    def statistics(self) -> dict:
-        total = sum(g["docs"] for g in self.manifest.generations)
-        gone = self.tombstones()
-        deleted = 0 if gone is None else gone.count()
-        return {"docs": total - deleted, "deleted": deleted, "postings": sum(g["postings"] for g in self.manifest.generations), "generations": len(self.manifest.generations), "next_id": self.manifest.next_id}
-
-    def blocks(self, size: int = 1 << 16) -> DataFrame:
-        return blocks(self.postings(), self.measure, size, self.tombstones())
-
-    def worth_compacting(self, small: int = 1_000_000, most: int = 8, least_fill: float = 0.5) -> bool:
-        """Whether there are ``most`` generations of under ``small`` postings, or less than ``least_fill`` of the documents are live."""
-        s = self.statistics()
-        few = sum(g["postings"] < small for g in self.manifest.generations)
-        return few >= most or (s["deleted"] > 0 and s["docs"] < least_fill * (s["docs"] + s["deleted"]))
-
-    def compact(self) -> None:
-        """Writes all generations, without deleted documents, as one, and drops the tombstones. Readers of older manifests are not disturbed."""
-        if self.read_only:
-            raise IndexError_("opened read-only")
-        name = f"gen-{uuid.uuid4().hex}"
-        where = f"{self.root}/{name}"
-        gone = self.tombstones()
-        alive = (lambda d: d) if gone is None else (lambda d: d.join(gone, "doc_id", "left_anti"))
-        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        alive(self.postings()).repartitionByRange(width, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{where}/postings")
-        p = self.spark.read.parquet(f"{where}/postings")
-        lexicon(p).repartitionByRange(max(1, width // 4), "term").sortWithinPartitions("term").write.parquet(f"{where}/lexicon")
-        alive(self.documents()).write.parquet(f"{where}/documents")
-        docs = self.spark.read.parquet(f"{where}/documents").count()
-        self._commit(generations=({"id": name, "docs": docs, "postings": p.count()},), tombstones=())
+    def candidates(self) -> list[str]:
+        """Generations to merge: those of which too few documents are live, and the small ones once there are enough; the smallest first, up to ``merge_most`` postings."""
+        c, m = self.config, self.manifest
+        dead: dict[int, int] = {}
+        if m.deleted:
+            dead = {r["gen"]: r["n"] for r in hidden(self.documents().select("doc_id", "gen"), self.tombstones()).groupBy("gen").agg(F.count("*").alias("n")).collect()}
+        emptied = [g for g in m.generations if (g["docs"] - dead.get(g["gen"], 0)) * c.compaction_factor < g["docs"]]
+        small = [g for g in m.generations if g["postings"] < c.merge_small]
+        own = emptied + [g for g in small if g not in emptied] if len(small) >= c.merge_count else emptied
+        out, total = [], 0
+        for g in sorted(own, key=lambda g: g["postings"]):
+            if out and total + g["postings"] > c.merge_most:
+                break
+            out.append(g["id"])
+            total += g["postings"]
+        return out
+
+    def worth_compacting(self) -> bool:
+        return bool(self.candidates())
+
+    def compact(self, only: Iterable[str] | None = None) -> None:
+        """Writes generations, ``only`` those named or all, without deleted documents as one. Readers of older manifests are not disturbed.
+
+        Tombstones go when all generations were written; else they stay for the others.
+        """
+        self._open(write=True)
+        m = self.manifest
+        names = {g["id"] for g in m.generations} if only is None else set(only)
+        own, rest = [g for g in m.generations if g["id"] in names], [g for g in m.generations if g["id"] not in names]
+        if not own:
+            return
+        where = f"gen-{m.next_gen:08d}-{uuid.uuid4().hex}"
+        with self.metrics.timed("compact"):
+            n = self._laid(live(self._read("documents", DOCUMENTS, own), self.tombstones()), where, m.next_gen)
+            size = {"id": where, "gen": m.next_gen, "docs": n["docs"], "postings": n["postings"], "low": n["low"], "high": n["high"]}
+            gone = sum(g["docs"] for g in own) - n["docs"]
+            self._commit(generations=(*rest, size) if n["docs"] else tuple(rest), tombstones=m.tombstones if rest else (), deleted=m.deleted - gone, next_gen=m.next_gen + 1)
+        self.metrics.count("compacted_generations", len(own))
+        self.metrics.count("dropped_docs", gone)
 
     def vacuum(self) -> list[str]:
-        """Deletes what the current manifest doesn't name; older readers then fail."""
-        if self.read_only:
-            raise IndexError_("opened read-only")
-        files = _Files(self.spark, self.root)
-        keep = {g["id"] for g in self.manifest.generations} | set(self.manifest.tombstones) | {f"manifest-{self.manifest.version:012d}.json"}
-        gone = [n for n in files.names(self.root) if n not in keep and n.startswith(("gen-", "tombstones-", "manifest-"))]
+        """Deletes what no manifest needs: the current one, those that a reader holds, and those younger than ``keep_old`` seconds do."""
+        self._open(write=True)
+        keep = {f"manifest-{v:012d}.json" for v in {self.manifest.version, *self._readers()}}
+        names = self.store.names()
+        if self.config.keep_old:
+            # A manifest is old from the time of the next one.
+            every = sorted(n for n in names if n.startswith("manifest-") and n.endswith(".json"))
+            keep |= {a for a, b in zip(every, every[1:]) if self.store.age(b) < self.config.keep_old}
+        needed = set(keep)
+        for n in keep & set(names):
+            m = self._manifest(self.store, n)
+            needed |= {g["id"] for g in m.generations} | set(m.tombstones)
+        gone = [n for n in names if n not in needed and n.startswith(("gen-", "tombstones-", "manifest-"))]
         for n in gone:
-            files.delete(f"{self.root}/{n}")
+            self.store.delete(n)
         return gone

@@ -15,8 +15,21 @@ SEGMENT = 64
 RANGE, BITMAP = 1 << 16, 32767
 
 
+def _joined(df: DataFrame, tombstones: DataFrame, how: str, *more: Column) -> DataFrame:
+    """Tombstones with ``below`` hide a document in generations before that one; the others hide it wherever it is."""
+    by_generation = "below" in tombstones.columns and "gen" in df.columns
+    t = tombstones.select(F.col("doc_id").alias("_gone"), *([F.col("below").alias("_below")] if by_generation else []), *more)
+    on = df["doc_id"] == t["_gone"]
+    return df.join(t, on & (df["gen"] < t["_below"]) if by_generation else on, how)
+
+
 def live(df: DataFrame, tombstones: DataFrame | None) -> DataFrame:
-    return df if tombstones is None else df.join(tombstones.select("doc_id"), "doc_id", "left_anti")
+    return df if tombstones is None else _joined(df, tombstones, "left_anti")
+
+
+def hidden(df: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """What ``live`` leaves out."""
+    return _joined(df, tombstones, "left_semi")
 
 
 def lexicon(postings: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
@@ -71,8 +84,8 @@ def blocks(postings: DataFrame, measure: Measure, size: int, tombstones: DataFra
     """
     p = postings.withColumn("_x", F.lit(0))
     if tombstones is not None:
-        gone = tombstones.select("doc_id").distinct().withColumn("_gone", F.lit(1))
-        p = postings.join(gone, "doc_id", "left").withColumn("_x", F.coalesce("_gone", F.lit(0)))
+        once = tombstones.groupBy("doc_id").agg(F.max("below").alias("below")) if "below" in tombstones.columns else tombstones.select("doc_id").distinct()
+        p = _joined(postings, once, "left").withColumn("_x", F.col("_gone").isNotNull().cast("int"))
     score = measure.score(F.col("tf"), F.col("doc_len"))
     out = p.groupBy("term", block_of(size).alias("block")).agg(F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"), F.count("*").alias("n"), F.sum("_x").cast("bigint").alias("deleted"), F.round(F.max(score), 6).alias("max_measure"))
     return out.withColumn("fill", F.round((F.col("n") - F.col("deleted")) / F.col("n"), 6))

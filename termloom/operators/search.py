@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.analysis import Analyzer, simple, term_counts
 from ..functions.scoring import OKAPI, Measure, idf
 from ..plans.clauses import And, Clause, Combine, Or, Term, TermId, add, compile_clause, expressions, leaves, ranked, resolved
-from .postings import block_of, blocks, lexicon, live, term_ids, total_docs
+from .postings import block_of, blocks, hidden, lexicon, live, term_ids, total_docs
 
 
 @dataclass
@@ -18,7 +18,7 @@ class Searcher:
     """A snapshot to search: postings (term, doc_id, tf, doc_len), documents (doc_id), tombstones (doc_id) or None.
 
     All statistics are of live documents. ``lexicon_``: (term, df) over all postings, where it is stored; the deleted are then
-    taken off for the terms of the query alone.
+    taken off for the terms of the query alone. ``total``: number of live documents, where it is known; else they are counted.
     """
 
     postings: DataFrame
@@ -26,21 +26,28 @@ class Searcher:
     tombstones: DataFrame | None = None
     measure: Measure = OKAPI
     lexicon_: DataFrame | None = None
+    total: int | None = None
 
     @classmethod
     def of(cls, docs: DataFrame, analyzer: Analyzer | None = None, measure: Measure = OKAPI, tombstones: DataFrame | None = None) -> Searcher:
         return cls(term_counts(docs, analyzer or simple()), docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), tombstones, measure)
 
+    def n(self) -> DataFrame:
+        """One row (n): the number of live documents."""
+        if self.total is None:
+            return total_docs(self.documents, self.tombstones)
+        return self.postings.sparkSession.createDataFrame([(self.total,)], "n bigint")
+
     def frequencies(self, terms: list[str]) -> DataFrame:
         """(term, df, idf) of the terms that a live document has."""
         some = F.col("term").isin(terms)
-        n = total_docs(self.documents, self.tombstones)
+        n = self.n()
         if self.lexicon_ is None:
             df = lexicon(self.postings.filter(some), self.tombstones)
         else:
             df = self.lexicon_.filter(some)
             if self.tombstones is not None:
-                gone = self.postings.filter(some).join(self.tombstones.select("doc_id"), "doc_id", "left_semi").groupBy("term").agg(F.count("*").alias("_gone"))
+                gone = hidden(self.postings.filter(some), self.tombstones).groupBy("term").agg(F.count("*").alias("_gone"))
                 df = df.join(gone, "term", "left").select("term", (F.col("df") - F.coalesce("_gone", F.lit(0))).alias("df")).filter("df > 0")
         return df.crossJoin(F.broadcast(n)).select("term", "df", "n", idf(F.col("n"), F.col("df")).alias("idf"))
 
@@ -71,14 +78,22 @@ class Searcher:
         """The ``k`` best matches (doc_id, score): score down, doc_id up."""
         return ranked(self.matches(clause, **how), k)
 
+    def matches_from(self, clause: Clause, doc_id: int, **how) -> DataFrame:
+        """Matches from ``doc_id`` on. The scan is filtered, statistics are of all documents."""
+        clause = self.named(clause)
+        own = Searcher(self.postings.filter(F.col("doc_id") >= doc_id), self.documents, self.tombstones, self.measure, self.lexicon_, self.total)
+        freq = self.frequencies(sorted({x.term for x in leaves(clause)}))
+        own.frequencies = lambda terms: freq
+        return own.matches(clause, **how)
+
     def advance(self, clause: Clause, doc_id: int, **how) -> DataFrame:
         """Matches from ``doc_id`` on, in order of doc_id."""
-        return self.matches(clause, **how).filter(F.col("doc_id") >= doc_id).select("doc_id", F.round("score", 6).alias("score")).orderBy("doc_id")
+        return self.matches_from(clause, doc_id, **how).select("doc_id", F.round("score", 6).alias("score")).orderBy("doc_id")
 
     def advance_to_score(self, clause: Clause, least: float, doc_id: int | None = None, **how) -> DataFrame:
         """Matches of at least this score, from ``doc_id`` on, in order of doc_id."""
-        out = self.matches(clause, **how).select("doc_id", F.round("score", 6).alias("score")).filter(F.col("score") >= least)
-        return (out if doc_id is None else out.filter(F.col("doc_id") >= doc_id)).orderBy("doc_id")
+        out = self.matches(clause, **how) if doc_id is None else self.matches_from(clause, doc_id, **how)
+        return out.select("doc_id", F.round("score", 6).alias("score")).filter(F.col("score") >= least).orderBy("doc_id")
 
     def layered(self, *clauses: Clause) -> DataFrame:
         """(doc_id, layer, score): each document once, scored by the first clause that matches it."""
@@ -97,7 +112,7 @@ class Searcher:
         leaf = queries.groupBy("query", "term").agg(F.count("*").alias("_times"))
         terms = leaf.select("term").distinct()
         p = live(self.postings.join(terms, "term", "left_semi"), self.tombstones)
-        df = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total_docs(self.documents, self.tombstones)))
+        df = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.n()))
         p = p.join(df.select("term", idf(F.col("n"), F.col("df")).alias("idf")), "term")
         p = p.select("term", "doc_id", (self.measure.score(F.col("tf"), F.col("doc_len")) * F.col("idf")).alias("_s"))
         scores = p.join(leaf, "term").groupBy("query", "doc_id").agg(F.round(F.sum(F.col("_s") * F.col("_times")), 6).alias("score"))
@@ -163,7 +178,7 @@ class Searcher:
         go(clause, "0")
         node = F.array(*[F.struct(F.lit(p_).alias("path"), c.alias("clause"), t.alias("term"), tf.alias("tf"), n.alias("doc_len"), F.round(m, 6).alias("measure"), F.round(s, 6).alias("term_score")) for p_, c, t, tf, n, m, s in rows])
         out = wide.select("doc_id", F.explode(node).alias("x")).select("doc_id", "x.*")
-        out = out.join(F.broadcast(freq.select("term", "df", F.round("idf", 6).alias("idf"))), "term", "left").crossJoin(F.broadcast(total_docs(self.documents, self.tombstones)))
+        out = out.join(F.broadcast(freq.select("term", "df", F.round("idf", 6).alias("idf"))), "term", "left").crossJoin(F.broadcast(self.n()))
         return out.select("doc_id", "path", "clause", "term", "tf", "doc_len", "df", "n", "idf", "measure", "term_score")
 
     def explanation(self, clause: Clause, doc_id: int) -> str:

@@ -9,13 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .config import Config
 from .functions import analysis, scoring
 from .functions.porter import stem
 from .index.store import Index
 from .operators import postings as P
 from .operators.search import Searcher, overlap_at_k, rank_agreement
 from .plans.clauses import And, Clause, Or, Term, TermId
-from .sources.files import articles
+from .sources.files import articles, wiki_dump
 from .streaming.ingest import ingest
 
 BLOCK = 128
@@ -148,6 +149,81 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
     return Index.open(spark, f"{root}/index").search(NESTED["nested_and_or_topk"])
 
 
+def _readded(spark: SparkSession, d: str) -> DataFrame:
+    """The German documents removed and added again with more words, the English ones replaced by themselves."""
+    index = _index(spark, d)
+    index.add(docs(spark, d).filter("lang = 'de'").withColumn("text", F.concat_ws(" ", "text", F.lit("the of lytion"))))
+    index.add(docs(spark, d).filter("lang = 'en'"))
+    return index.search(NESTED["nested_and_or_topk"])
+
+
+def _one_document(spark: SparkSession, d: str) -> DataFrame:
+    own = _index(spark, d).get_document(7)
+    return own.select("doc_id", "ext_id", "doc_len", F.explode_outer("terms").alias("t")).select("doc_id", "ext_id", "doc_len", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"))
+
+
+def _snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader finds that was opened before half of the documents were removed, the rest merged and others added."""
+    index = Index.create(spark, scratch(spark))
+    index.add(docs(spark, d))
+    reader = Index.open(spark, index.store, read_only=True)
+    index.remove(docs(spark, d).filter("doc_id % 2 = 0"))
+    index.compact()
+    index.add(docs(spark, d).filter("doc_id % 4 = 0"))
+    return reader.search(NESTED["nested_and_or_topk"])
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    """Three generations, of which the one with few documents left is rewritten alone: live postings by term, generations, documents that are still hidden."""
+    index = Index.create(spark, scratch(spark), config=Config(merge_small=1))
+    for i in range(3):
+        index.add(docs(spark, d).filter(F.col("doc_id") % 3 == i))
+    index.remove(docs(spark, d).filter("doc_id % 3 = 1 and doc_id % 4 <> 0 or doc_id % 30 = 0"))
+    index.compact(index.candidates())
+    m = index.manifest
+    df = P.lexicon(index.postings(), index.tombstones())
+    return df.withColumn("generations", F.lit(len(m.generations))).withColumn("deleted", F.lit(m.deleted).cast("bigint"))
+
+
+def _merging_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of six files whose generations are merged by pairs as they come: postings of the one that is left."""
+    root = scratch(spark)
+    docs(spark, d).withColumn("part", F.col("doc_id") % 6).repartition("part").write.partitionBy("part").parquet(f"{root}/in")
+    stream = spark.readStream.schema(docs(spark, d).schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    ingest(stream, f"{root}/index", f"{root}/checkpoint", interval=None, compact=True, config=Config(merge_count=2)).awaitTermination()
+    index = Index.open(spark, f"{root}/index")
+    return index.postings().select("term", "doc_id", "tf", "doc_len", F.lit(len(index.manifest.generations)).alias("generations"))
+
+
+def _modes(spark: SparkSession, d: str) -> DataFrame:
+    """(mode, outcome): documents found, or the error of the mode."""
+    root, rows = scratch(spark), []
+
+    def outcome(mode: str, f) -> None:
+        try:
+            rows.append((mode, str(f().statistics()["docs"])))
+        except Exception as e:  # noqa: BLE001 - the outcome is what is asked for
+            rows.append((mode, type(e).__name__.strip("_")))
+
+    outcome("read what is not there", lambda: Index.open(spark, root, read_only=True))
+    outcome("open or create", lambda: Index.open(spark, root, create=True))
+    Index.open(spark, root).add(docs(spark, d))
+    outcome("read", lambda: Index.open(spark, root, read_only=True))
+    outcome("create over it", lambda: Index.create(spark, root))
+    outcome("other measure", lambda: Index.open(spark, root, measure="bm_like"))
+    outcome("overwrite", lambda: Index.create(spark, root, overwrite=True))
+    return spark.createDataFrame(rows, "mode string, outcome string")
+
+
+def _dump(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, in base 64 so that white space stays, written as a wiki dump and read again."""
+    root = scratch(spark)
+    text = F.struct(F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "").alias("_VALUE"), F.lit("preserve").alias("_space"))
+    own = docs(spark, d).select(F.col("doc_id").cast("string").alias("title"), F.struct(text.alias("text")).alias("revision"))
+    own.write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(f"{root}/dump")
+    return wiki_dump(spark, f"{root}/dump").select("ext_id", F.length("text").cast("bigint").alias("n"))
+
+
 def _by_id(spark: SparkSession, d: str) -> DataFrame:
     """The terms numbered 100 and 2000 of the lexicon, either."""
     return searcher(spark, d).search(Or(TermId(100), TermId(2000)))
@@ -209,6 +285,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compacted_postings": _compacted,
     "stream_ingest_topk": _streamed,
     "english_topk": _english,
+    "readded_docs_topk": _readded,
+    "stored_document": _one_document,
+    "snapshot_topk": _snapshot,
+    "merged_generations": _merged,
+    "merging_stream": _merging_stream,
+    "open_modes": _modes,
+    "wiki_dump_articles": _dump,
 }
 
 _OKAPI = "tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * doc_len / 1e3))"
@@ -266,6 +349,16 @@ ra AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER
 rb AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY score2 DESC, doc_id) AS rank FROM qs QUALIFY rank <= 100)
 """ % _BM_LIKE
 
+#: Forms of two words that Porter's rules bring to their stems, written out.
+FORMS = {"thing": "s es ed ing", "lytion": "s es ed ing al ance ence er ers ic able ible ant ement ment ent ou ism ate iti ous ive ize"}
+_FORM = " ".join(f"WHEN regexp_full_match(t, '{w}({'|'.join(s.split())})?') THEN '{w}'" for w, s in FORMS.items())
+_ENGLISH = rf"""
+WITH d AS (SELECT doc_id, list_filter(list_transform(coalesce(regexp_extract_all(lower(replace(text, '’', '''')), '[\p{{L}}\p{{N}}]+(?:''[\p{{L}}\p{{N}}]+)*'), []), lambda t: regexp_replace(t, '''s$', '')), lambda t: t NOT IN {analysis.STOP_WORDS}) AS w FROM documents),
+post AS (SELECT term, doc_id, count(*) AS tf, n AS doc_len FROM (SELECT doc_id, n, CASE {_FORM} END AS term FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d)) WHERE term IS NOT NULL GROUP BY ALL),
+idf AS (SELECT term, greatest(0e0, ln(1e0 + ((SELECT count(*) FROM d) - df + 0.5e0) / (df + 0.5e0))) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY term)),
+s AS (SELECT term, doc_id, {_BM_LIKE} * idf AS score FROM post JOIN idf USING (term))
+""" + _top(Or(Term("thing"), RARE))
+
 _DELETED = "lang IS NULL OR lang <> 'de'"
 _N = NESTED["nested_and_or_topk"]
 
@@ -323,6 +416,14 @@ SELECT doc_id, shingle, tf, importance FROM (SELECT *, row_number() OVER (PARTIT
     "stored_topk": _with(live=_DELETED) + _top(_N),
     "compacted_postings": _with(live=_DELETED) + "SELECT term, doc_id, tf, doc_len FROM post",
     "stream_ingest_topk": _with() + _top(_N),
+    "english_topk": _ENGLISH,
+    "readded_docs_topk": _with().replace("lower(text)", "lower(text || CASE WHEN lang = 'de' THEN ' the of lytion' ELSE '' END)") + _top(_N),
+    "stored_document": _with() + "SELECT a.doc_id, CAST(a.doc_id AS VARCHAR) AS ext_id, CAST(len(a.w) AS INTEGER) AS doc_len, post.term, post.tf FROM d a LEFT JOIN post ON post.doc_id = a.doc_id WHERE a.doc_id = 7",
+    "snapshot_topk": _with() + _top(_N),
+    "merged_generations": _with(live="(doc_id % 3 <> 1 OR doc_id % 4 = 0) AND doc_id % 30 <> 0") + "SELECT term, df, 3 AS generations, (SELECT count(*) FROM documents WHERE doc_id % 30 = 0) AS deleted FROM lex",
+    "merging_stream": _with() + "SELECT term, doc_id, tf, doc_len, 1 AS generations FROM post",
+    "open_modes": "SELECT 'read what is not there' AS mode, 'IndexError' AS outcome UNION ALL SELECT 'open or create', '0' UNION ALL SELECT 'read', CAST(count(*) AS VARCHAR) FROM documents UNION ALL SELECT 'create over it', 'IndexError' UNION ALL SELECT 'other measure', 'IndexError' UNION ALL SELECT 'overwrite', '0'",
+    "wiki_dump_articles": "SELECT CAST(doc_id AS VARCHAR) AS ext_id, length(base64(encode(text))) AS n FROM documents WHERE length(base64(encode(text))) > 100",
 }
 
 #: What ``entry`` runs.

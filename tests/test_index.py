@@ -94,7 +94,8 @@ def test_streamed_is_bulk(spark, docs, tmp_path):
     index = Index.open(spark, str(tmp_path / "i"))
     assert index.statistics()["docs"] == docs.count() and index.statistics()["generations"] == 3
     assert index.search(CLAUSE).collect() == Searcher.of(docs).search(CLAUSE).collect()
-    assert index.add(docs, batch="0") is False
+    (stream,) = index.manifest.streams
+    assert index.manifest.streams == {stream: 2} and index.add(docs, batch=(stream, 1)) is False
 
 
 def test_text_files(spark, tmp_path):
