@@ -46,6 +46,12 @@ def test_stems(word, root):
     assert stem(word) == root
 
 
+def test_forms_of_the_english_query():
+    from termloom.queries import FORMS
+
+    assert all(stem(w) == w == stem(w + x) for w, forms in FORMS.items() for x in forms.split())
+
+
 def tiny(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, text string")
 
@@ -85,3 +91,24 @@ def test_shingles_by_hand(spark):
         assert got[k][0] == round(math.sqrt(f[a] * f[b])) and math.isclose(got[k][1], c**10 * math.sqrt(f[a] * f[b]), rel_tol=1e-9)
     assert set(got) == set(near)
     assert analysis.shingles(docs, analysis.simple(), ratio=0.34).count() == 1
+
+
+def test_pieces_of_a_batch_don_t_matter(spark):
+    """Many documents, long and empty ones, in batches and pieces of any size."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    lists = pa.array([["w%d" % rng.randrange(30) for _ in range(rng.choice([0, 1, 5, 40]))] for _ in range(200)], pa.list_(pa.string()))
+    for own in (lists, lists.slice(13, 90)):
+        for most in (1, 7, 100, 10**6):
+            out = [x for begin, n, v in analysis._pieces(own, most) for x in _split(v.to_pylist(), n)]
+            assert out == own.to_pylist()
+
+
+def _split(values, lengths):
+    at = 0
+    for n in lengths:
+        yield values[at : at + n]
+        at += n
