@@ -1,4 +1,4 @@
-"""What the two substring dedups share: repeats of at least ``least`` words across documents.
+"""What the two substring dedups share: repeats of at least ``least`` words across documents. Words and runs of words are known by 64 bits of hash.
 
 A repeat shows in its windows of ``least`` words. Each window is represented by its minimiser, the least hashed 8-gram
 in it: equal windows have equal minimisers, so a window whose minimiser occurs nowhere else can't be repeated. That
@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ._common import cut, doc_id, documents, parts
 from ._words import U, Words, mix, ngrams
@@ -21,6 +20,8 @@ from ._words import U, Words, mix, ngrams
 GRAM = 8
 #: Windows that a bucket is meant to hold.
 PER_BUCKET = 500_000
+#: Occurrences from which an n-gram is hot, and that part of all.
+HOT, HOT_SHARE = 20_000, 1_000_000
 _POS = 24
 
 
@@ -68,19 +69,72 @@ def minimisers(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return whole, place[whole], g
 
 
-def marks(text: DataFrame, least: int) -> DataFrame:
-    """(_k, _m): word numbers of the minimisers of a document that occur more than once."""
+def _grams(least: int):
+    """(_h, _k, _p, _c) for the minimisers of each chunk: the first of an n-gram with how often the chunk has it, and the others, which are known to be repeated and go anywhere, with 0."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, w in texts(frames):
             at = np.unique(minimisers(w, least)[1])
-            g = ngrams(w.hash, GRAM)[1]
+            g = ngrams(w.hash, GRAM)[1][at]
+            order = np.argsort(g, kind="stable")
+            at, g = at[order], g[order]
+            new = np.append(True, g[1:] != g[:-1])[: len(g)]
+            first = np.flatnonzero(new)
+            count = np.zeros(len(g), np.int64)
+            count[first] = np.diff(np.append(first, len(g)))
             d = w.doc[at]
-            yield pd.DataFrame({"_h": g[at].view(np.int64), "_k": f["_k"].to_numpy()[d], "_p": (at - w.first[d]).astype(np.int32)})
+            k, p = f["_k"].to_numpy(np.int64)[d], (at - w.first[d]).astype(np.int32)
+            yield pd.DataFrame({"_h": np.where(new, g, mix(k.view(U) ^ mix(p.astype(U)))).view(np.int64), "_k": k, "_p": p, "_c": count})
 
-    rows = text.mapInPandas(run, "_h bigint, _k bigint, _p int")
-    twice = rows.withColumn("_c", F.count("*").over(Window.partitionBy("_h"))).filter("_c > 1")
-    return cut(twice.groupBy("_k").agg(F.collect_list("_p").alias("_m")))
+    return run
+
+
+def _repeated_grams(hot_from: int):
+    """(_t, _k, _p, _n): of rows sorted by ``_h`` the places (_k, _p) of n-grams that occur several times; with ``_t`` also those of over ``hot_from``: their hash as ``_k``, their number."""
+
+    def places(f: pd.DataFrame) -> pd.DataFrame:
+        return f[["_k", "_p"]].assign(_t=False, _n=0)[["_t", "_k", "_p", "_n"]]
+
+    def whole(f: pd.DataFrame) -> pd.DataFrame:
+        h, c = f["_h"].to_numpy(), f["_c"].to_numpy()
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        total = np.add.reduceat(c, at)
+        hot = total > hot_from
+        return pd.concat([places(f[np.repeat(total > 1, np.diff(np.append(at, len(h))))]), pd.DataFrame({"_t": True, "_k": h[at[hot]], "_p": np.int32(0), "_n": total[hot]})])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for f in frames:
+            known = f["_c"].to_numpy() == 0
+            yield places(f[known])
+            f = f[~known] if kept is None else pd.concat([kept, f[~known]], ignore_index=True)
+            last = f["_h"].to_numpy() == f["_h"].iloc[-1] if len(f) else np.zeros(0, bool)
+            kept, f = f[last], f[~last]
+            if len(f):
+                yield whole(f)
+        if kept is not None and len(kept):
+            yield whole(kept)
+
+    return run
+
+
+def marks(text: DataFrame, least: int, hot_from: int = HOT) -> tuple[DataFrame, np.ndarray]:
+    """(_k, _m): word numbers of the minimisers of a document that occur more than once. Beside it the sorted hashes of hot ones.
+
+    Hot are those that occur over ``hot_from`` times and make up over one in ``HOT_SHARE`` of all: ``HOT_SHARE`` hashes at most.
+    """
+    rows = text.mapInPandas(_grams(least), "_h bigint, _k bigint, _p int, _c bigint")
+    twice = rows.repartition(parts(text), "_h").sortWithinPartitions("_h").mapInPandas(_repeated_grams(hot_from), "_t boolean, _k bigint, _p int, _n bigint")
+    every = cut(twice.groupBy("_t", "_k").agg(F.collect_list("_p").alias("_m"), F.max("_n").alias("_n")))
+    live = every.filter("not _t").select("_k", "_m")
+    total = live.agg(F.sum(F.size("_m"))).first()[0] or 0
+    hot = every.filter(F.col("_t") & (F.col("_n") > total / HOT_SHARE)).select("_k").collect()
+    return live, np.sort(np.array([r[0] for r in hot], np.int64).view(U))
+
+
+def among(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which of ``h`` are in the sorted ``hot``."""
+    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
 
 
 def candidates(f: pd.DataFrame, w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +192,14 @@ WITHIN = -(2**31)
 RUNS = "_k bigint, _s int, _w int, _c bigint, _q int"
 
 
+def resolved(places: DataFrame, within: bool) -> DataFrame:
+    """Runs of one window each of the places (_a, _x, _k, _p) of hot windows (_a, _x): the first place comes from an aggregation, and a hot join is split."""
+    first = places.groupBy("_a", "_x").agg(F.min(F.struct("_k", "_p")).alias("_f"), F.max("_k").alias("_z"), F.count("*").alias("_n"))
+    first = first.filter("_n > 1" if within else "_f._k <> _z")
+    at = F.when(F.col("_f._k") == F.col("_z"), F.col("_f._p") + F.lit(WITHIN)).otherwise(F.col("_f._p"))
+    return places.join(first, ["_a", "_x"]).select("_k", F.col("_p").alias("_s"), F.lit(1).alias("_w"), F.col("_f._k").alias("_c"), at.alias("_q"))
+
+
 def runs_of(k: np.ndarray, p: np.ndarray, ck: np.ndarray, cp: np.ndarray, n: np.ndarray | None = None) -> pd.DataFrame:
     """Joins what continues: rows sorted by (k, p), each ``n`` windows from ``p`` on that equal those from ``cp`` on in ``ck``."""
     if not len(k):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, parts
-from ._repeats import BLOB, RUNS, WITHIN, buckets, by_bucket, candidates, gathered, joined, keyed, marks, repeated, runs_of, scatter, texts
+from ._repeats import BLOB, RUNS, buckets, by_bucket, candidates, gathered, joined, keyed, marks, repeated, resolved, runs_of, scatter, texts
 from ._words import U, mix, ngrams
 
 LEAST = 50
@@ -88,7 +88,7 @@ def _place(lead: np.ndarray, x: np.ndarray, k: np.ndarray, split: np.ndarray) ->
 _KEY = np.dtype([("a", np.uint64), ("x", np.uint64)])
 
 
-def _sorted(hot: set, width: int, within: bool):
+def _sorted(hot: np.ndarray, width: int, within: bool):
     """Blobs (by document bucket) of windows that occur in several documents, or with ``within`` at several places: x is the first document, y the first place.
 
     A suffix that boundaries cut goes whole to bucket ``_HOT``, x and y being its key.
@@ -100,8 +100,10 @@ def _sorted(hot: set, width: int, within: bool):
             order = multikey([*tokens, x, k, p])
             la, xs = lead[order], x[order]
             tie = np.append(False, (la[1:] == la[:-1]) & (xs[1:] == xs[:-1]))
-            if hot:
-                cutoff = np.array([(a, b) in hot for a, b in zip(la.tolist(), xs.tolist())], bool)
+            if len(hot):
+                key = np.empty(len(la), _KEY)
+                key["a"], key["x"] = la, xs
+                cutoff = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
                 if cutoff.any():
                     o = order[cutoff]
                     yield scatter(np.full(len(o), _HOT), lead[o], x[o], k[o], p[o])
@@ -133,7 +135,7 @@ def repeats(docs: DataFrame, least: int = LEAST, per_bucket: int | None = None,
 
     Each run has at least ``least`` words, counted from 0, and equals the one at ``first_start`` in ``first_doc``, the
     first place in the corpus (by doc_id, then position) that holds it; in that document it is listed too, naming
-    itself. A word is a run of non-space, compared exactly. A null, empty or shorter text has no run; a text of
+    itself. A word is a run of non-space; runs are equal when 128 bits, of their tokens and of their hash, are. A null, empty or shorter text has no run; a text of
     repetitions alone has none either, unless another document shares it. A null doc_id counts as the least and stays
     null. Rows that repeat id and text count once; texts of one id that differ are documents of their own. An empty
     table gives no rows. Further columns are not read. ``per_bucket``: suffixes that a bucket is meant to hold.
@@ -144,7 +146,7 @@ def repeats(docs: DataFrame, least: int = LEAST, per_bucket: int | None = None,
     if least < 16:
         raise ValueError("least must be 16 words or more")
     text, names = keyed(docs)
-    live = marks(text, least)
+    live, _ = marks(text, least)
     n = buckets(live)
     count = n * 500_000
     if per_bucket:
@@ -164,7 +166,7 @@ def repeats(docs: DataFrame, least: int = LEAST, per_bucket: int | None = None,
         key.sort()
         split = key[np.linspace(0, len(key), n + 1).astype(int)[1:-1]] if len(key) else split
     again = split[1:][split[1:] == split[:-1]] if len(split) > 1 else split[:0]
-    hot = {(int(a), int(x)) for a, x in again}
+    hot = np.unique(again)
     suffixes = _suffixes(least)
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,11 +176,10 @@ def repeats(docs: DataFrame, least: int = LEAST, per_bucket: int | None = None,
                 yield scatter(_place(lead, x, k, split), lead, x, k, p)
 
     found = by_bucket(ready.mapInPandas(emit, BLOB), width).mapInPandas(_sorted(hot, width, within), BLOB)
-    if hot:
+    if len(hot):
         found = cut(found)
         parted = found.filter(F.col("_b") == _HOT).mapInPandas(_across, "_a bigint, _x bigint, _k bigint, _p int")
-        first = parted.groupBy("_a", "_x").agg(F.min(F.struct("_k", "_p")).alias("_f"), F.max("_k").alias("_z"), F.count("*").alias("_n")).filter("_n > 1" if within else "_f._k <> _z")
-        cutruns = parted.join(first, ["_a", "_x"]).select("_k", F.col("_p").alias("_s"), F.lit(1).alias("_w"), F.col("_f._k").alias("_c"), F.when(F.col("_f._k") == F.col("_z"), F.col("_f._p") + F.lit(WITHIN)).otherwise(F.col("_f._p")).alias("_q"))
+        cutruns = resolved(parted, within)
         found = found.filter(F.col("_b") != _HOT)
     runs = by_bucket(found, width).mapInPandas(_runs, RUNS)
-    return joined(runs.unionByName(cutruns) if hot else runs, least, names, within)
+    return joined(runs.unionByName(cutruns) if len(hot) else runs, least, names, within)

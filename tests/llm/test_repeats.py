@@ -96,3 +96,12 @@ def test_repeats_within_a_document(docs, prose, how):
     got = anchors.repeats(docs(rows), within=True) if how == "anchors" else suffixes.repeats(docs(rows), per_bucket=20 if how == "cut" else None, within=True)
     assert got.columns[-1] == "within" and rows_of(got) == want
     assert sorted((r[:5] for r in want if not r[5]), key=str) == brute(rows, 50)
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_hot_passages(docs, prose, within):
+    """A passage that is in many texts, twice in some, and so often that its windows are not gathered."""
+    rows = prose + [(1000 + i, f"{i} " + " ".join(prose[60][1].split()[: 70 - i]) + (f" {i} " + prose[60][1]) * (i % 4 == 0)) for i in range(30)]
+    want = (brute_within if within else brute)(rows, 50)
+    for hot_from in (2, 10):
+        assert rows_of(anchors.repeats(docs(rows), within=within, hot_from=hot_from)) == want
