@@ -67,6 +67,23 @@ def stop_words(spark: SparkSession, path: str | None, default: Iterable[str] = S
     return tuple(default)
 
 
+class WatchedStopWords:
+    """The words of a file, read again when the file has changed; the default list while there is none."""
+
+    def __init__(self, spark: SparkSession, path: str, default: Iterable[str] = STOP_WORDS):
+        self._spark, self._path, self._default, self._at = spark, path, tuple(default), None
+        self._words: tuple[str, ...] = ()
+
+    def words(self) -> tuple[str, ...]:
+        p = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        fs = p.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        status = fs.getFileStatus(p) if fs.exists(p) else None
+        at = status and (status.getModificationTime(), status.getLen())
+        if not self._words or at != self._at:
+            self._words, self._at = stop_words(self._spark, self._path, self._default), at
+        return self._words
+
+
 def tokenised(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
     """(doc_id, doc_len, tokens)."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), analyzer.array(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("doc_len"), "tokens")

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.analysis import ANALYZERS, TERMS, Analyzer, counted, inverted
 from ..functions.scoring import MEASURES, Measure, okapi_of
-from ..metrics import Metrics
-from ..operators.postings import blocks, hidden, lexicon, live
+from ..metrics import Metrics, Reporter, Reporting, log
+from ..operators.postings import blocks, hidden, lexicon, live, segments, tombstone_segments
 from ..operators.search import Searcher
 from .tables import Files, Store
 
@@ -227,6 +227,18 @@ class Index:
     def blocks(self, size: int | None = None) -> DataFrame:
         return blocks(self.postings(), self.measure, size or self.config.block, self.tombstones())
 
+    def segments(self) -> DataFrame:
+        return segments(self.postings(), self.measure, self.config.segment)
+
+    def tombstone_segments(self) -> DataFrame | None:
+        gone = self.tombstones()
+        return None if gone is None else tombstone_segments(gone, self.config.bitmap)
+
+    def reporting(self, *reporters: Reporter) -> Reporting:
+        """Reports the metrics as the settings say until it is stopped, to the log too unless they turn that off."""
+        own = [*([log] if self.config.metrics_log else []), *reporters]
+        return Reporting(self.metrics, own, self.config.metrics_interval, self.config.metrics_per_second)
+
     # ------------------------------------------------------------------ writing
 
     def _laid(self, documents: DataFrame, where: str, gen: int) -> dict:

@@ -45,7 +45,7 @@ def total_docs(documents: DataFrame, tombstones: DataFrame | None = None) -> Dat
 def term_ids(lexicon_: DataFrame) -> DataFrame:
     """(term, term_id): numbers from 0 in order of the terms, ranked within the terms' first letters and offset."""
     lex = lexicon_.select("term", F.substring("term", 1, 3).alias("_g"))
-    sizes = lex.groupBy("_g").agg(F.count("*").alias("_c"))
+    sizes = lex.groupBy("_g").agg(F.count("*").alias("_c"))  # a row for each three letters that terms begin with
     base = sizes.select("_g", (F.sum("_c").over(Window.orderBy("_g")) - F.col("_c")).alias("_o"))
     own = F.row_number().over(Window.partitionBy("_g").orderBy("term")) - 1
     return lex.withColumn("_r", own).join(base, "_g").select("term", (F.col("_o") + F.col("_r")).cast("bigint").alias("term_id"))
@@ -100,9 +100,9 @@ def gaps(postings: DataFrame) -> DataFrame:
     return p.withColumn("_l", own).join(before, ["term", "_g"]).select("term", "doc_id", (F.col("doc_id") - F.coalesce("_l", "_b", F.lit(0))).alias("gap"))
 
 
-def tombstone_segments(tombstones: DataFrame) -> DataFrame:
-    """(segment, n_deleted, min_doc, max_doc) for each range of ``BITMAP`` doc_ids, and what a bitmap of it needs no more than."""
-    return tombstones.select("doc_id").distinct().groupBy(F.floor(F.col("doc_id") / BITMAP).alias("segment")).agg(F.count("*").alias("n_deleted"), F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"))
+def tombstone_segments(tombstones: DataFrame, size: int = BITMAP) -> DataFrame:
+    """(segment, n_deleted, min_doc, max_doc) for each range of ``size`` doc_ids, and what a bitmap of it needs no more than."""
+    return tombstones.select("doc_id").distinct().groupBy(F.floor(F.col("doc_id") / size).alias("segment")).agg(F.count("*").alias("n_deleted"), F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"))
 
 
 def tombstone_bitmaps(tombstones: DataFrame) -> DataFrame:

@@ -80,6 +80,18 @@ def test_stop_words(spark, tmp_path):
     assert analysis.stop_words(spark, str(tmp_path / "none")) == analysis.STOP_WORDS == analysis.stop_words(spark, None)
 
 
+def test_stop_words_that_change(spark, tmp_path):
+    path = tmp_path / "stop.txt"
+    watched = analysis.WatchedStopWords(spark, str(path))
+    assert watched.words() == analysis.STOP_WORDS
+    path.write_text("cat")
+    assert watched.words() == ("cat",) == watched.words()
+    path.write_text("cat\ndog")
+    assert watched.words() == ("cat", "dog")
+    path.unlink()
+    assert watched.words() == analysis.STOP_WORDS
+
+
 def test_shingles_by_hand(spark):
     docs = tiny(spark, [(1, "red fox red fox. fox blue red. blue"), (2, None)])
     got = {r.shingle: (r.tf, r.importance) for r in analysis.shingles(docs, analysis.simple()).collect()}

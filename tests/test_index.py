@@ -287,5 +287,7 @@ def test_metrics(spark, tmp_path, caplog):
     with caplog.at_level("INFO", "termloom"):
         M.Reporting(index.metrics, [M.log, broken, M.table(spark, str(tmp_path / "m"))], interval=60).stop()
     assert any('"added_docs": 3' in r.message for r in caplog.records) and any("reporter" in r.message for r in caplog.records)
+    index.reporting(M.table(spark, str(tmp_path / "n"))).stop()
+    assert list((tmp_path / "n").glob("*.json")) and index.segments().count() == 1 and index.tombstone_segments() is None
     lines = [json.loads(x) for f in (tmp_path / "m").glob("*.json") for x in f.read_text().splitlines()]
     assert {"name": "added_docs", "value": 3.0} in lines
