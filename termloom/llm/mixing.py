@@ -52,7 +52,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     with a smaller budget a source leaves blocks out. A source short of tokens repeats its blocks as often as its weight
     asks; with ``max_epochs`` only so many times, and its later slots stay empty, so that its weight is not reached. A
     source of less than a block fills its slots with what it has.
-    A document goes whole into the block in which it starts; a token is a word.
+    A document goes whole into the block in which it starts; a token is a word. Over ``MAX_SOURCES`` sources raise.
 
     A null source is the source ''. A null or empty text has no tokens and shares the slot of its neighbour in the
     shuffle; a source without any token gets no slot. A null doc_id is kept as null. Repeated rows are scheduled
@@ -75,8 +75,9 @@ def _scheduled(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     names = np.array([s.source for s in stats], dtype=object)
     share = np.diff(stop, prepend=0) / 2.0**BITS
     need = [-(-s.t // block_tokens) for s in stats]
-    # An interval's count of points strays from its share by far less than 16 at any length that can be reached.
-    slots = -(-budget // block_tokens) if budget is not None else max(int(np.ceil((n + 16) / w)) for n, w in zip(need, share) if w > 0)
+    # An interval's count of points strays from its share by far less than 16 at any length that can be reached, and between two
+    # points of an interval of share w lie fewer than 1 + 2.62 / w others: what a source of few blocks needs is not 16 blocks' length.
+    slots = -(-budget // block_tokens) if budget is not None else max(int(np.ceil(min((n + 16) / w, n * (2.62 / w + 1) + 1))) for n, w in zip(need, share) if w > 0)
     up = 60 - max(1, int(slots).bit_length())
 
     def lay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
