@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, doc_id, documents, hash60
@@ -43,8 +43,11 @@ def shards(docs: DataFrame, max_bytes: int = 64 << 20, step: int | None = None)
         cells = todo.groupBy(cell.alias("_c")).agg(F.sum("n_bytes").alias("_n"))
         nodes = cells.select("_c", "_n", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("_l"))
         nodes = nodes.withColumn("_p", F.expr(f"shiftright(_c, {high} - _l)"))
-        nodes = nodes.withColumn("_t", F.sum("_n").over(Window.partitionBy("_l", "_p")))
-        found = cut(nodes.groupBy("_c").agg(F.min(F.when(F.col("_t") <= max_bytes, F.col("_l"))).alias("_m")))
+        # Buckets over the limit are few, one in ``max_bytes`` of each depth; a cell's shard lies one bit below its last.
+        over = nodes.groupBy("_l", "_p").agg(F.sum("_n").alias("_t")).filter(F.col("_t") > max_bytes).select("_l", "_p")
+        last = nodes.join(over, ["_l", "_p"]).groupBy("_c").agg(F.max("_l").alias("_last"))
+        depth = F.coalesce(F.col("_last") + 1, F.lit(low))
+        found = cut(cells.join(last, "_c", "left").select("_c", F.when(depth <= high, depth).alias("_m")))
         out = out.withColumn("_c", cell).join(found, "_c", "left").withColumn("_depth", F.coalesce("_depth", "_m")).drop("_c", "_m")
         rest = found.filter(F.col("_m").isNull())
         if high == BITS or rest.isEmpty():
