@@ -33,9 +33,13 @@ class Analyzer:
     roots: Callable[[pd.Series], pd.Series] | None = None
     stop_words: tuple[str, ...] = field(default=())
 
+    def every(self, text: Column) -> Column:
+        """Tokens of a text, stop words among them; [] for null."""
+        return F.coalesce(self.tokens(text), F.array().cast("array<string>"))
+
     def array(self, text: Column) -> Column:
         """Tokens of a text after stop words; [] for null."""
-        out = F.coalesce(self.tokens(text), F.array().cast("array<string>"))
+        out = self.every(text)
         if not self.stop_words:
             return out
         stop = F.array(*[F.lit(w) for w in self.stop_words])
@@ -50,7 +54,8 @@ def simple(stop_words: Iterable[str] = ()) -> Analyzer:
 def english(stop_words: Iterable[str] = STOP_WORDS) -> Analyzer:
     """Words with inner apostrophes, less a possessive 's; stop words; stems of English by Porter's algorithm."""
     words = lambda c: F.regexp_extract_all(F.lower(F.translate(c, "’", "'")), F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*"), F.lit(0))
-    return Analyzer("english", lambda c: F.transform(words(c), lambda t: F.regexp_replace(t, "'s$", "")), lambda s: s.map(stem), tuple(sorted({w.lower() for w in stop_words})))
+    bare = lambda t: F.when(t.endswith("'s"), F.substring(t, F.lit(1), F.length(t) - 2)).otherwise(t)
+    return Analyzer("english", lambda c: F.transform(words(c), bare), lambda s: s.map(stem), tuple(sorted({w.lower() for w in stop_words})))
 
 
 ANALYZERS: dict[str, Callable[..., Analyzer]] = {"simple": simple, "english": english}
@@ -109,10 +114,11 @@ def _pieces(lists: pa.ListArray, most: int = 1_000_000) -> Iterator[tuple[int, n
         begin = end
 
 
-def _coded(tokens: pa.Array, roots: Callable[[pd.Series], pd.Series] | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Numbers of the tokens' terms, the terms in order, and which of them are neither too short nor too long."""
+def _coded(tokens: pa.Array, roots: Callable[[pd.Series], pd.Series] | None, stop: pa.Array | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray | None]:
+    """Numbers of the tokens' terms, the terms in order, which of them are neither too short nor too long, and which tokens aren't stop words, if there are any."""
     d = tokens.dictionary_encode()
     code, words = d.indices.to_numpy(zero_copy_only=False), d.dictionary
+    counts = None if stop is None else ~pc.is_in(words, stop).to_numpy(zero_copy_only=False)[code]
     if roots is not None and len(words):
         r = pa.array(roots(words.to_pandas()), pa.string()).dictionary_encode()
         code, words = r.indices.to_numpy(zero_copy_only=False)[code], r.dictionary
@@ -121,17 +127,20 @@ def _coded(tokens: pa.Array, roots: Callable[[pd.Series], pd.Series] | None) ->
     rank[order] = np.arange(len(order))
     words = words.take(pa.array(order))
     size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-    return rank[code], words, (size >= SHORTEST) & (size <= LONGEST)
+    return rank[code], words, (size >= SHORTEST) & (size <= LONGEST), counts
 
 
 def _counting(analyzer: Analyzer):
-    roots = analyzer.roots
+    roots, stop = analyzer.roots, pa.array(analyzer.stop_words, pa.string()) if analyzer.stop_words else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, length, tokens in _pieces(batch.column("tokens")):
-                code, words, fits = _coded(tokens, roots)
+                code, words, fits, counts = _coded(tokens, roots, stop)
                 doc, wide = np.repeat(np.arange(len(length)), length), max(1, len(words))
+                if counts is not None:
+                    code, doc = code[counts], doc[counts]
+                    length = np.bincount(doc, minlength=len(length))
                 ok = fits[code]
                 key, tf = np.unique(doc[ok] * wide + code[ok], return_counts=True)
                 doc = key // wide
@@ -146,9 +155,10 @@ def _counting(analyzer: Analyzer):
 def counted(docs: DataFrame, analyzer: Analyzer, *more: str) -> DataFrame:
     """(doc_id, columns ``more``, doc_len, terms array<struct<term, tf, doc_len>>): each row of ``docs`` with its terms in order, without a shuffle.
 
-    Tokens come from the analyzer's expressions; roots are looked up and terms counted batch by batch in Arrow arrays.
+    Tokens come from the analyzer's expressions; stop words are left out, roots looked up and terms counted batch by batch in
+    Arrow arrays.
     """
-    tokens = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *more, analyzer.array(F.col("text")).alias("tokens"))
+    tokens = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *more, analyzer.every(F.col("text")).alias("tokens"))
     schema = ", ".join(f"`{n}` {t}" for n, t in tokens.drop("tokens").dtypes)
     return tokens.mapInArrow(_counting(analyzer), f"{schema}, doc_len int, terms {TERMS}")
 
@@ -183,7 +193,7 @@ def _closeness(analyzer: Analyzer, distance: int, ratio: float):
             for begin, count, own in _pieces(sentences, 20_000):
                 length = np.diff(own.offsets.to_numpy())
                 tokens = own.flatten()
-                code, words, fits = _coded(tokens, roots)
+                code, words, fits, _ = _coded(tokens, roots)
                 wide = max(1, len(words))
                 sentence = np.repeat(np.arange(len(length)), length)
                 doc = np.repeat(np.arange(len(count)), count)[sentence] if len(length) else np.zeros(0, np.int64)
