@@ -5,8 +5,9 @@ whatever the order of rarity (prefix filtering). Groups are therefore found exac
 
 1. Texts with equal n-gram sets are told by their signatures and stand behind one representative.
 2. Each n-gram's document frequency is counted in buckets of hashes. A chunk of texts travels as sorted, difference-coded
-   hashes with the texts' numbers in the chunk, and n-grams of several texts come back to their chunk. A set of which too
-   few n-grams are anywhere else has no partner and goes.
+   hashes with the texts' numbers in the chunk, and n-grams of several texts come back to their chunk. An n-gram that a
+   chunk has several times goes to its bucket once, with their number, so that a bucket isn't filled by a frequent one. A
+   set of which too few n-grams are anywhere else has no partner and goes.
 3. Sets that share one of their rarest n-grams are connected; a group is a connected component.
 4. In each group a signature tree is built: leaves are sets, a node holds the OR of the token bitmaps below it and the
    range of their sizes. A traversal of two trees against each other drops a pair of nodes whose maximum possible overlap,
@@ -33,6 +34,8 @@ from ._common import NO_ID, cut, doc_id, documents, parts
 from ._words import U, Words, mix, ngrams
 
 N, THRESHOLD, FAN = 3, 0.5, 8
+#: Stands for the texts of an n-gram that a chunk has several times.
+SEVERAL = np.uint32(2**32 - 1)
 #: Bytes and number of texts of a chunk, n-grams that a bucket is meant to hold.
 CHUNK, MOST, PER_BUCKET = 8_000_000, 50_000, 3_000_000
 #: Sets of a block: from the first number on a group is cut into eight, up to the second each.
@@ -135,16 +138,21 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 
 
 def _sent(n: int, width: int):
-    """For each chunk and bucket of hashes a row (_b, _c, _g, _x)."""
+    """For each chunk and bucket of hashes a row (_b, _c, _g, _x): n-grams, the text or ``SEVERAL``, the number of texts. For each chunk a row of no bucket, with the texts of the n-grams that several have."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for c, content, _, h, size in _chunks(frames, n):
             h, i = h >> U(16), np.repeat(np.arange(len(size), dtype=np.uint32), size)
             order = np.argsort(h)
             h, i = h[order], i[order]
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            times = np.diff(np.append(at, len(h)))
+            own = np.repeat(times > 1, times)
+            out = [(-1 - int(mix(np.array([c], U))[0] >> U(33)), c, content, packed(h[own], i[own]))] if own.any() else []
+            h, i = h[at], np.where(times > 1, SEVERAL, i[at])
             bucket = ((h >> U(24)) * U(width) >> U(24)).astype(np.int64)
             cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(h))
-            out = [(bucket[a], c, content, packed(h[a:b], i[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+            out += [(bucket[a], c, content, packed(h[a:b], i[a:b], times[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
             yield pd.DataFrame(out, columns=["_b", "_c", "_g", "_x"])
 
     return run
@@ -169,16 +177,21 @@ def by_key(frames: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[int, p
 
 
 def _returned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From a bucket to each chunk: its n-grams that are in several texts, the texts' numbers and the frequencies."""
-    for _, f in by_key(frames, "_b"):
-        h, i = map(np.concatenate, zip(*map(unpacked, f["_x"])))
-        of = np.repeat(np.arange(len(f), dtype=np.int32), [int(np.frombuffer(zstandard.ZstdDecompressor().decompress(x)[:4], np.int32)[0]) for x in f["_x"]])
+    """From a bucket to each chunk: its n-grams that are in several texts, the texts' numbers and the frequencies. Rows of no bucket pass."""
+    for bucket, f in by_key(frames, "_b"):
+        if bucket < 0:
+            yield f[["_c", "_g", "_x"]]
+            continue
+        blobs = [unpacked(x) for x in f["_x"]]
+        h, i, times = map(np.concatenate, zip(*blobs))
+        of = np.repeat(np.arange(len(f), dtype=np.int32), [len(x[0]) for x in blobs])
         order = np.argsort(h, kind="stable")
         hs = h[order]
         at = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
-        df = np.diff(np.append(at, len(hs)))
-        many = np.repeat(df > 1, df)
-        order, df = order[many], np.repeat(df, df)[many]
+        df, n = np.add.reduceat(times[order], at, dtype=np.int64), np.diff(np.append(at, len(hs)))
+        df = np.repeat(df, n)
+        many = df > 1
+        order, df = order[many], df[many]
         again = np.argsort(of[order], kind="stable")  # by chunk, then hash
         order, df = order[again], df[again]
         own = of[order]
@@ -201,7 +214,14 @@ def _live(t: float):
             top = int(reps["_i"].max()) + 1
             n, times = np.zeros(top, np.int64), np.full(top, 2**40)
             n[reps["_i"]], times[reps["_i"]] = reps["_n"], reps["_r"]
-            h, i, df = map(np.concatenate, zip(*map(unpacked, blobs["_x"])))
+            parts_ = [unpacked(x) for x in blobs["_x"]]
+            h, i, df = map(np.concatenate, zip(*[x for x in parts_ if len(x) == 3]))
+            if any(len(x) == 2 for x in parts_):  # texts of the chunk that share an n-gram
+                h2, i2 = map(np.concatenate, zip(*[x for x in parts_ if len(x) == 2]))
+                several = i == SEVERAL
+                order = np.argsort(h[several])
+                df2 = df[several][order][np.searchsorted(h[several][order], h2)]
+                h, i, df = (np.concatenate([x[~several], y]) for x, y in ((h, h2), (i, i2), (df, df2)))
             i = i.astype(np.int64)
             ok = i < top
             ok[ok] = df[ok] > times[i[ok]]  # all copies of a set have its n-grams; what only they have isn't shared

@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -141,6 +141,31 @@ def test_packed():
         assert (got[0] == h).all() and (got[1] == i).all() and len(jaccard.unpacked(jaccard.packed(h))) == 1
 
 
+def test_frequencies(monkeypatch):
+    """Chunks of few texts, in which some n-grams come several times, against counting."""
+    import pandas as pd
+
+    monkeypatch.setattr(jaccard, "CHUNK", 200)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))).encode() for _ in range(60)]
+    frame = pd.DataFrame({"_d": range(60), "_x": range(60), "text": texts})
+    frames = [frame.iloc[k : k + 6] for k in range(0, 60, 6)]
+    sent = pd.concat(jaccard._sent(3, 5)(iter(frames)))
+    sketch = pd.concat(jaccard._sketches(3)(iter(frames)))
+    assert len(set(sent["_c"])) >= 5 and set(sent["_g"]) <= set(sketch["_g"]) and (sent["_b"] < 0).any()
+    got = {}
+    for c, f in pd.concat(jaccard._returned(iter([sent.sort_values("_b")]))).groupby("_c"):
+        parts = [jaccard.unpacked(x) for x in f["_x"]]
+        df = {h: n for x in parts if len(x) == 3 for h, n in zip(x[0].tolist(), x[2].tolist())}
+        for x in parts:
+            for h, i in zip(x[0].tolist(), x[1].tolist()):
+                if i != jaccard.SEVERAL:
+                    got[c, i, h] = df[h]
+    own = {(c, i): set((jaccard.gram_sets([texts[d]], 3)[0] >> np.uint64(16)).tolist()) for c, i, d in zip(sketch["_c"], sketch["_i"], sketch["_d"])}
+    count = Counter(h for s in own.values() for h in s)
+    assert got == {(*k, h): count[h] for k, s in own.items() for h in s if count[h] > 1} and max(count.values()) > 10
+
+
 def test_stars_over_batches():
     import pandas as pd
 
