@@ -6,8 +6,6 @@ hash from one prefix sum over the buffer. Nothing here loops over words.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 
 U = np.uint64
@@ -16,9 +14,6 @@ _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 SPACE = np.ones(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = False
-#: Lower-case letters, digits, and every byte of a character beyond ASCII.
-ALNUM = np.zeros(256, bool)
-ALNUM[128:] = ALNUM[48:58] = ALNUM[97:123] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,10 +41,10 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of ``texts`` (bytes). ``hash``, ``doc``, ``start``, ``end`` by word; ``first[d]:first[d + 1]`` are the words of text d."""
 
-    def __init__(self, texts: list[bytes], kind: np.ndarray = SPACE):
+    def __init__(self, texts: list[bytes]):
         self.buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        inside = kind[self.buf]
+        inside = SPACE[self.buf]
         edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0))
         self.start, self.end = edge[::2], edge[1::2]
         p, q = _powers(_B, len(self.buf) + 1)
@@ -81,31 +76,3 @@ def ngrams(word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(word) + 1, U)
     np.cumsum(word * p[: len(word)], out=h[1:])
     return np.arange(m), mix((h[n:] - h[:-n]) * q[:m])
-
-
-def chunks(frames: Iterable, limit: int = 2_000_000, column: str = "text") -> Iterator[tuple]:
-    """(frame, texts as bytes) in pieces of about ``limit`` bytes of text, so that memory is bounded whatever the batch size."""
-    for frame in frames:
-        texts = [b"" if t is None else t.encode() for t in frame[column]]
-        total, begin = 0, 0
-        for i, t in enumerate(texts):
-            total += len(t)
-            if total >= limit or i + 1 == len(texts):
-                yield frame.iloc[begin : i + 1], texts[begin : i + 1]
-                total, begin = 0, i + 1
-
-
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
-def runs(*keys: np.ndarray) -> np.ndarray:
-    """Starts of runs of equal keys, and the length at the end."""
-    n = len(keys[0])
-    if not n:
-        return np.zeros(1, np.int64)
-    new = np.zeros(n, bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.append(np.flatnonzero(new), n)
