@@ -109,15 +109,17 @@ class Searcher:
         Postings are joined to the queries by term and added up by query and document; the ranking keeps k rows of a
         query in each task before it shuffles.
         """
+        return best(self.batch_scores(queries, [self.measure]), "score0", k)
+
+    def batch_scores(self, queries: DataFrame, measures: list[Measure]) -> DataFrame:
+        """(query, doc_id, score0, score1, ...) of all matches of many disjunctions, a score for each measure."""
         leaf = queries.groupBy("query", "term").agg(F.count("*").alias("_times"))
         terms = leaf.select("term").distinct()
         p = live(self.postings.join(terms, "term", "left_semi"), self.tombstones)
         df = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.n()))
         p = p.join(df.select("term", idf(F.col("n"), F.col("df")).alias("idf")), "term")
-        p = p.select("term", "doc_id", (self.measure.score(F.col("tf"), F.col("doc_len")) * F.col("idf")).alias("_s"))
-        scores = p.join(leaf, "term").groupBy("query", "doc_id").agg(F.round(F.sum(F.col("_s") * F.col("_times")), 6).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))
-        return scores.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "doc_id", "score")
+        p = p.select("term", "doc_id", *[(m.score(F.col("tf"), F.col("doc_len")) * F.col("idf")).alias(f"_s{i}") for i, m in enumerate(measures)])
+        return p.join(leaf, "term").groupBy("query", "doc_id").agg(*[F.round(F.sum(F.col(f"_s{i}") * F.col("_times")), 6).alias(f"score{i}") for i in range(len(measures))])
 
     def batch_pairs(self, first: list[str], second: list[str], k: int) -> DataFrame:
         """(query, rank, doc_id, score): the ``k`` best of the disjunction of the i-th of ``first`` with each later than the i-th of ``second``.
@@ -223,6 +225,13 @@ class Searcher:
         return ranked(compile_clause(clause, scored.withColumn("block", block_of(size)).join(kept, "block", "left_semi").drop("block")), k)
 
 
+def best(scores: DataFrame, by: str, k: int) -> DataFrame:
+    """(query, rank, doc_id, score): of (query, doc_id, scores) the ``k`` best of each query by the column ``by``."""
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))
+    own = scores.select("query", "doc_id", F.col(by).alias("score"))
+    return own.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "doc_id", "score")
+
+
 def overlap_at_k(a: DataFrame, b: DataFrame) -> DataFrame:
     """(query, overlap): share of ``b``'s documents that ``a`` has too; 1 where both are empty, which is not listed, 0 where only ``b`` is."""
     hits = a.select("query", "doc_id").join(b.select("query", "doc_id"), ["query", "doc_id"]).groupBy("query").agg(F.count("*").alias("_h"))
