@@ -37,7 +37,7 @@ N, THRESHOLD, FAN = 3, 0.5, 8
 #: Stands for the texts of an n-gram that a chunk has several times.
 SEVERAL = np.uint32(2**32 - 1)
 #: Bytes and number of texts of a chunk, n-grams that a bucket is meant to hold.
-CHUNK, MOST, PER_BUCKET = 8_000_000, 50_000, 3_000_000
+CHUNK, MOST, PER_BUCKET = 8_000_000, 50_000, 1_000_000
 #: Sets of a block: from the first number on a group is cut into eight, up to the second each.
 BLOCK = 1024, 32768
 _SALT = [U((k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k in (40, 41)]
@@ -185,6 +185,7 @@ def _returned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blobs = [unpacked(x) for x in f["_x"]]
         h, i, times = map(np.concatenate, zip(*blobs))
         of = np.repeat(np.arange(len(f), dtype=np.int32), [len(x[0]) for x in blobs])
+        del blobs
         order = np.argsort(h, kind="stable")
         hs = h[order]
         at = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
