@@ -6,9 +6,9 @@ template; of each page the largest of them are deleted and the text of the rest
 ``KEEP_WORDS`` or more words outside links may be content that the site shows in several frames, such as an article under
 different navigation: it stays, with all it holds, on one of its pages.
 
-Pages are parsed twice and never shuffled with their hashes: the templates of a host, a small table, go to the pages. It
-is broadcast when it has at most ``BROADCAST`` hashes; else pages are joined to it by host, where AQE splits a host of
-many pages.
+Parsing takes time linear in a page's size. Pages are parsed twice and never shuffled with their hashes: the templates of
+a host, a small table, go to the pages. It is broadcast up to ``BROADCAST`` bytes; else pages are joined to it by host,
+where AQE splits a host of many pages.
 """
 
 from __future__ import annotations
@@ -24,15 +24,16 @@ from pyspark.sql import functions as F
 
 from ._common import NO_ID, cut, doc_id
 
-BROADCAST = 200_000
+#: Bytes of template hashes up to which they are broadcast.
+BROADCAST = 64 << 20
 #: Words outside links from which a recurring subtree stays on one page.
 KEEP_WORDS = 10
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>""",
-    re.S,
-)
-_RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in ("script", "style", "textarea", "title")}
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: A tag without angle brackets in its quotes; what it reads ends at the next bracket, so that trying it everywhere takes linear time.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
+_EDGE = re.compile("[>\"']")
+_RAW = {n: re.compile(rf"</{n}\b", re.I) for n in ("script", "style", "textarea", "title")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split())
 _HIDDEN = frozenset(["head", "script", "style", "template", "noscript", "title"])
@@ -43,6 +44,61 @@ _BARRIER = frozenset("ul ol dl table html body div article section nav select td
 _SPACE = re.compile(r"\s+")
 
 
+class _Tags:
+    """Tags of a source, found in time linear in its length."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self._none: set[str] = set()  # characters that don't come again
+        self._lost: set[int] = set()  # places outside quotes from which no tag ends
+
+    def find(self, what: str, at: int) -> int:
+        if what in self._none:
+            return -1
+        k = self.source.find(what, at)
+        if k < 0:
+            self._none.add(what)
+        return k
+
+    def _end(self, at: int) -> int:
+        """The next '>' outside quotes, or -1."""
+        seen = []
+        while at not in self._lost:
+            seen.append(at)
+            m = _EDGE.search(self.source, at) if "edge" not in self._none else None
+            if m is None:
+                self._none.add("edge")
+                break
+            if m[0] == ">":
+                return m.start()
+            at = self.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self._lost.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """(begin, end, name, attributes, whether it closes) of the next tag; no name for a comment or declaration."""
+        s = self.source
+        while (begin := self.find("<", at)) >= 0:
+            if m := _PLAIN.match(s, begin):
+                return begin, m.end(), m[2].lower(), m[3], bool(m[1])
+            if s.startswith("<!--", begin):
+                stop = self.find("-->", begin + 4)
+                return begin, len(s) if stop < 0 else stop + 3, "", "", False
+            if s[begin + 1 : begin + 2] in ("!", "?"):
+                stop = self.find(">", begin + 2)
+                return begin, len(s) if stop < 0 else stop + 1, "", "", False
+            if m := _NAME.match(s, begin + 1):
+                stop = self._end(m.end())
+                if stop < 0:  # a quote is never closed: the first '>' of any kind
+                    stop = self.find(">", m.end())
+                if stop >= 0:
+                    return begin, stop + 1, m[2].lower(), s[m.end() : stop], bool(m[1])
+            at = begin + 1
+        return None
+
+
 class Page:
     """``nodes``: (first event, end event, hash, tag, words outside links) of the subtrees that have text, in order of closing; ``events``: pieces of visible text, None for a line break."""
 
@@ -50,24 +106,25 @@ class Page:
         self.events: list[str | None] = []
         self.nodes: list[tuple[int, int, int, str, int]] = []
         self._open: list[list] = [["", 0, [], False, 0]]  # name, first event, parts to hash, whether there is text, words outside links
+        self._places: dict[str, list[int]] = {}  # of the open elements of a name
         self._hidden = self._links = 0
-        at = 0
-        while m := _TOKEN.search(source, at):
-            if m.start() > at:
-                self._text(source[at : m.start()])
-            at = m.end()
-            name = m["name"] or m["name2"]
+        tags, at = _Tags(source), 0
+        while tag := tags.next(at):
+            begin, end, name, attrs, closes = tag
+            if begin > at:
+                self._text(source[at:begin])
+            at = end
             if not name:
                 continue
-            name, attrs = name.lower(), m["attrs"] or m["attrs2"] or ""
-            if m["end"] or m["end2"]:
+            if closes:
                 self._end(name)
                 continue
             self._start(name, attrs)
             if name in _RAW:
                 stop = _RAW[name].search(source, at)
-                self._text(source[at : stop.start() if stop else len(source)])
-                at = stop.end() if stop else len(source)
+                edge = source.find(">", stop.end()) if stop else -1
+                self._text(source[at : stop.start() if edge >= 0 else len(source)])
+                at = edge + 1 if edge >= 0 else len(source)
                 self._close()
             elif name in _VOID or attrs.endswith("/"):
                 self._close()
@@ -93,28 +150,25 @@ class Page:
     def _start(self, name: str, attrs: str) -> None:
         if name in _BLOCK:
             closes = _CLOSES.get(name, ("p",) if name != "br" else ())
-            for k in range(len(self._open) - 1, 0, -1):
-                own = self._open[k][0]
-                if own in closes:
-                    while len(self._open) > k:
-                        self._close()
-                    break
-                if own in _BARRIER:
-                    break
+            last = max((p[-1] for n in closes if (p := self._places.get(n))), default=0)
+            if last and not any(p[-1] > last for n in _BARRIER if n not in closes and (p := self._places.get(n))):
+                while len(self._open) > last:
+                    self._close()
             self.events.append(None)
+        self._places.setdefault(name, []).append(len(self._open))
         self._open.append([name, len(self.events), [name.encode(), _SPACE.sub(" ", attrs.strip(" \t\r\n/")).encode("utf-8", "surrogatepass")], False, 0])
         self._hidden += name in _HIDDEN
         self._links += name == "a"
 
     def _end(self, name: str) -> None:
-        for k in range(len(self._open) - 1, 0, -1):
-            if self._open[k][0] == name:
-                while len(self._open) > k:
-                    self._close()
-                return
+        if places := self._places.get(name):
+            last = places[-1]
+            while len(self._open) > last:
+                self._close()
 
     def _close(self) -> None:
         name, first, hashed, text, n = self._open.pop()
+        self._places[name].pop()
         self._hidden -= name in _HIDDEN
         self._links -= name == "a"
         h = _digest(hashed)
@@ -128,24 +182,28 @@ class Page:
         top[4] += n
 
     def text(self, template: frozenset | set, kept: frozenset | set = frozenset()) -> tuple[str, int]:
-        """Text without the subtrees whose hash is in ``template``, and how many of them, the largest only, were deleted. Those in ``kept`` stay with all they hold."""
-        gone, keep = 0, self.events
-        if template:
-            spans = sorted((n[0], -n[1], n[2] not in kept) for n in self.nodes if n[2] in template)
-            keep, at, whole = [], 0, 0
-            for begin, end, goes in spans:
-                if begin < max(at, whole) or -end == begin:  # inside the one before
-                    continue
-                if not goes:
-                    whole = -end
-                    continue
-                keep += [*self.events[at:begin], None]
-                at = -end
-                gone += 1
-            keep += self.events[at:]
-        lines = "".join("\n" if x is None else x for x in keep).split("\n")
-        lines = [x for x in (_SPACE.sub(" ", entities.unescape(x)).strip() for x in lines) if x]
-        return "\n".join(lines), gone
+        return rendered(self.events, self.nodes, template, kept)
+
+
+def rendered(events: list, nodes: list, template: frozenset | set, kept: frozenset | set = frozenset()) -> tuple[str, int]:
+    """Text without the subtrees whose hash is in ``template``, and how many of them, the largest only, were deleted. Those in ``kept`` stay with all they hold."""
+    gone, keep = 0, events
+    if template:
+        spans = sorted((n[0], -n[1], n[2] not in kept) for n in nodes if n[2] in template)
+        keep, at, whole = [], 0, 0
+        for begin, end, goes in spans:
+            if begin < max(at, whole) or -end == begin:  # inside the one before
+                continue
+            if not goes:
+                whole = -end
+                continue
+            keep += [*events[at:begin], None]
+            at = -end
+            gone += 1
+        keep += events[at:]
+    lines = "".join("\n" if x is None else x for x in keep).split("\n")
+    lines = [x for x in (_SPACE.sub(" ", entities.unescape(x)).strip() for x in lines) if x]
+    return "\n".join(lines), gone
 
 
 def _digest(hashed: list[bytes]) -> bytes:
@@ -197,8 +255,9 @@ def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.01, broad
     template. A template of ``KEEP_WORDS`` or more words outside links stays on the page of least hash among those that have
     it, so no such text is lost to a host whole; shorter ones go everywhere. ``n_removed``: deleted subtrees, not counting those inside another. A page's lines are its blocks; what a
     browser doesn't show is left out. A page whose url is null or has no host is extracted whole, with a null host. A
-    null html gives a null text, an empty one ''. A null page_id stays null; repeated rows are each extracted. An empty
-    table gives no rows. Further columns are not read.
+    null html gives a null text, an empty one ''. A page of any length or nesting takes time in proportion to its length. A
+    null page_id stays null; repeated rows are each extracted. An empty table gives no rows. Further columns are not read.
+    ``broadcast``: see ``BROADCAST``; it changes no row.
     """
     host = F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     own = pages.select(F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID)).alias("_i"), F.when(host != "", host).alias("_host"), F.col("html").cast("string").alias("_html"))
@@ -213,7 +272,7 @@ def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.01, broad
     kept = F.when(F.col("_root").isNotNull(), F.struct("_hash", "_root"))
     templates = often.groupBy("_host").agg(F.collect_list("_hash").alias("_hashes"), F.collect_list(kept).alias("_kept"))
     templates = cut(templates.select("_host", "_hashes", F.col("_kept._hash").alias("_long"), F.col("_kept._root").alias("_roots")))
-    small = (templates.agg(F.sum(F.size("_hashes"))).first()[0] or 0) <= broadcast
+    small = (templates.agg(F.sum(8 * F.size("_hashes") + 16 * F.size("_long") + 64)).first()[0] or 0) <= broadcast
     out = own.join(F.broadcast(templates) if small else templates, "_host", "left").select("_i", "_host", "_html", "_hashes", "_long", "_roots")
     out = out.mapInPandas(_extracted, "_i bigint, host string, text string, n_removed int")
     return out.select(doc_id("_i").alias("page_id"), "host", "text", "n_removed")

@@ -1,6 +1,12 @@
+import os
 import random
 import re
+import time
 from collections import defaultdict
+from html import unescape
+from html.parser import HTMLParser
+
+import pytest
 
 from termloom.llm.html import Page, extract
 
@@ -79,6 +85,138 @@ def test_parser():
     assert len(Page("<p>" + "word " * 200_000 + "</p>").text(set())[0]) == 999_999
 
 
+class Second(HTMLParser):
+    """A tree of well-formed html by the standard library's parser: (tag, attributes, children) with texts as strings."""
+
+    void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+    block = set("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split())
+    unseen = {"head", "script", "style", "template", "noscript", "title"}
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=False)
+        self.top = ["", (), []]
+        self.open = [self.top]
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, tuple(attrs), []]
+        self.open[-1][2].append(node)
+        if tag not in self.void:
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        own = self.open[-1][2]
+        if own and isinstance(own[-1], str):
+            own[-1] += data
+        else:
+            own.append(data)
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
+
+
+def frozen(node):
+    """What makes two subtrees the same: blank texts between children don't count at the start, other space is one space."""
+    out = []
+    for c in node[2]:
+        if isinstance(c, str):
+            c = re.sub(r"\s+", " ", c)
+            if c.strip() or out:
+                out.append(c)
+        else:
+            out.append(frozen(c))
+    return node[0], node[1], tuple(out)
+
+
+def second_brute(rows, least=3, share=0.01):
+    """Text of each page from trees compared as a whole, not by hash, for pages whose recurring subtrees are short."""
+    host = lambda u: re.match(r"[a-z]+://([^/:?#]+)", u)[1].lower()
+    has = lambda n: any(c.strip() if isinstance(c, str) else has(c) for c in n[2])
+    words = lambda n: 0 if n[0] == "a" or n[0] in Second.unseen else sum(len(c.split()) if isinstance(c, str) else words(c) for c in n[2])
+    trees = {i: Second(h).top for i, _, h in rows}
+    on, of = defaultdict(set), defaultdict(set)
+
+    def subtrees(node):
+        for c in node[2]:
+            if not isinstance(c, str) and c[0] not in Second.unseen:
+                if has(c) and c[0] not in ("html", "body"):
+                    yield c
+                yield from subtrees(c)
+
+    for i, u, _ in rows:
+        root = frozen(trees[i])
+        of[host(u)].add(root)
+        for c in subtrees(trees[i]):
+            on[host(u), frozen(c)].add(root)
+    out = {}
+    for i, u, _ in rows:
+        lines, gone = [""], 0
+
+        def go(node):
+            nonlocal gone
+            for c in node[2]:
+                if isinstance(c, str):
+                    lines[-1] += re.sub(r"\s+", " ", c)
+                elif c[0] not in Second.unseen:
+                    pages_ = on.get((host(u), frozen(c)), ())
+                    if len(pages_) >= max(least, share * len(of[host(u)])):
+                        if words(c) >= 10:
+                            return False
+                        gone += 1
+                        lines.append("")
+                        continue
+                    edge = c[0] in Second.block
+                    if edge:
+                        lines.append("")
+                    if go(c) is False:
+                        return False
+                    if edge:
+                        lines.append("")
+            return True
+
+        if go(trees[i]):
+            lines = [re.sub(r"\s+", " ", unescape(x)).strip() for x in lines]
+            out[i] = "\n".join(x for x in lines if x), gone
+    return out
+
+
+def test_same_as_a_second_parser(spark, data):
+    """The pages given whose markup is well-formed, and the made ones; those that keep a long template are left to the tests above."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()] if os.path.exists(f"{data}/pages.parquet") else []
+    ours, other = [r for r in pages() if r[0] is not None and r[1] and r[1].startswith("http") and r[2]], 0
+    for own in (rows, ours):
+        try:
+            want = second_brute(own)
+        except AssertionError:  # unclosed elements
+            well = []
+            for r in own:
+                try:
+                    Second(r[2])
+                    well.append(r)
+                except AssertionError:
+                    pass
+            own, want = well, second_brute(well)
+        got = {r.page_id: (r.text, r.n_removed) for r in extract(make(spark, own)).collect()}
+        assert all(got[i] == x for i, x in want.items())
+        other += len(want)
+    assert other > 60
+
+
+@pytest.mark.parametrize("pattern", ['<a "', "<a", "<span></i></b>", "<a '\">", "<b><hr>", "</script", "<!-", "<p><b></i>", "<a x='\"><i y=\"'>", "<div><b>", "<", "<![", "&#"])
+def test_hostile_pages_take_linear_time(pattern):
+    for head in ("", "<p><div>", "<script>"):
+        began = time.process_time()
+        Page(head + pattern * (1_000_000 // len(pattern))).text({1})
+        assert time.process_time() - began < 6
+
+
 def test_empty(spark):
     assert extract(make(spark, [])).count() == 0
 
