@@ -22,7 +22,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``; only a local session without one gets a
-    temporary folder of its own.
+    temporary folder of its own. A size that was estimated at 2^63 bytes or more is forgotten (``_sized``).
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -30,7 +30,22 @@ def cut(df: DataFrame) -> DataFrame:
         if given is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="termloom-"))
-    return df.checkpoint(eager=True)
+    return _sized(df.checkpoint(eager=True))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """``df``, a checkpoint, with Spark's default for a table of unknown size (2^63 - 1) where its estimated size is larger.
+
+    A checkpoint keeps the estimate of the plan that made it, which for a join is the product of both sides. In a loop that
+    joins its own checkpoints the number of its digits doubles with each turn, until these numbers fill the driver's memory.
+    """
+    plan = df._jdf.queryExecution().logical()
+    if int(plan.stats().sizeInBytes()) < 2**63:
+        return df
+    jvm, session = df.sparkSession._jvm, df._jdf.sparkSession()
+    unknown = jvm.scala.Option.empty()
+    plan = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), session, unknown, unknown)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), df.sparkSession)
 
 
 def parts(df: DataFrame) -> int:

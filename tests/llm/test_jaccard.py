@@ -210,6 +210,30 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 98: 98, 99: 98, 100: 98}
 
 
+@pytest.fixture
+def estimates(monkeypatch):
+    """Bits of the estimated size of each table that is cut, where edges go to ``components`` as they are, so that it takes several rounds."""
+    out, cut = [], jaccard.cut
+
+    def watched(df):
+        df = cut(df)
+        out.append(int(df._jdf.queryExecution().logical().stats().sizeInBytes()).bit_length())
+        return df
+
+    monkeypatch.setattr(jaccard, "cut", watched)
+    monkeypatch.setattr(jaccard, "_contracted", lambda frames: frames)
+    return out
+
+
+def test_estimated_sizes_do_not_grow_with_rounds(spark, estimates):
+    """They were multiplied by each join of a round and filled the driver's memory."""
+    name = list(range(400))
+    random.Random(4).shuffle(name)
+    edges = spark.createDataFrame(list(zip(name, name[1:])), "_a bigint, _b bigint")
+    assert {(r._v, r._root) for r in jaccard.components(edges).collect()} == {(i, 0) for i in range(400)}
+    assert len(estimates) > 12 and max(estimates) <= 63
+
+
 def test_nothing_to_join(docs):
     assert jaccard.similar(docs([])).count() == 0
     rows = [(1, None), (2, ""), (3, " \n"), (None, None), (3, "")]
