@@ -234,6 +234,13 @@ def test_estimated_sizes_do_not_grow_with_rounds(spark, estimates):
     assert len(estimates) > 12 and max(estimates) <= 63
 
 
+def test_join_keeps_estimates_small(docs, estimates):
+    """A chain in which each text is like the next, over several rounds of ``components``."""
+    rows = [(k, " ".join(f"c{i}" for i in range(6 * k, 6 * k + 60))) for k in range(30)]
+    assert rows_of(jaccard.similar(docs(rows))) == sorted(classes(rows, 0.5), key=str)
+    assert max(estimates) <= 63
+
+
 def test_nothing_to_join(docs):
     assert jaccard.similar(docs([])).count() == 0
     rows = [(1, None), (2, ""), (3, " \n"), (None, None), (3, "")]
