@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +53,24 @@ def _sized(df: DataFrame) -> DataFrame:
     return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), df.sparkSession)
 
 
+def released(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run``, of ``mapInPandas``; when a task is through, the allocators give free memory back to the system.
+
+    An executor keeps its Python workers, and they would keep the most that any task needed while the JVM beside them grows.
+    """
+
+    @functools.wraps(run)
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(frames)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+                trim(0)
+
+    return whole
+
+
 def parts(df: DataFrame) -> int:
     """The session's shuffle width."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, cut, doc_id, documents, parts
+from ._common import NO_ID, cut, doc_id, documents, parts, released
 from ._words import U, Words, mix, ngrams
 
 N, THRESHOLD, FAN = 3, 0.5, 8
@@ -108,6 +108,7 @@ def _chunks(frames: Iterator[pd.DataFrame], n: int, piece: int = 1_000_000) -> I
 
 
 def _sketches(n: int):
+    @released
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for c, content, f, h, size in _chunks(frames, n):
             first = np.concatenate([[0], np.cumsum(size)])
@@ -140,6 +141,7 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 def _sent(n: int, width: int):
     """For each chunk and bucket of hashes a row (_b, _c, _g, _x): n-grams, the text or ``SEVERAL``, the number of texts. For each chunk a row of no bucket, with the texts of the n-grams that several have."""
 
+    @released
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for c, content, _, h, size in _chunks(frames, n):
             h, i = h >> U(16), np.repeat(np.arange(len(size), dtype=np.uint32), size)
@@ -176,6 +178,7 @@ def by_key(frames: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[int, p
         yield now, pd.concat(held, ignore_index=True)
 
 
+@released
 def _returned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From a bucket to each chunk: its n-grams that are in several texts, the texts' numbers and the frequencies. Rows of no bucket pass."""
     for bucket, f in by_key(frames, "_b"):
@@ -205,6 +208,7 @@ def _returned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _live(t: float):
     """(_v, _n, _w, _m, _grams, _rare): representatives that may have a partner, their n-grams that other sets have, and the rarest of them."""
 
+    @released
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for c, f in by_key(frames, "_c"):
             if f["_g"].nunique() > 1 or not (f["_i"] == -2).any():
@@ -248,6 +252,7 @@ def _live(t: float):
 # ------------------------------------------------------------------ groups
 
 
+@released
 def _local_stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of the sets of a batch that share a rare n-gram, edges to the least; that one alone goes on to the n-gram's task."""
     for f in frames:
@@ -263,6 +268,7 @@ def _local_stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"_h": edges[:, 0], "_a": edges[:, 0], "_b": edges[:, 1]}).astype({"_b": "Int64"})
 
 
+@released
 def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edges as they are, and from each set of an n-gram to the first; sorted by n-gram."""
     at = first = None
@@ -389,6 +395,7 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _linked(t: float):
     """(_v, _l, _u, _cut) for each set with a link: links to documents of other sets in this task, the least set of its component here."""
 
+    @released
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, f in by_key(frames, "_q"):
             if len(f) < 2:
@@ -430,14 +437,15 @@ def _blocks(live: DataFrame, label: DataFrame, t: float, block: tuple[int, int])
     """Rows of ``live`` with the key ``_q`` of each task that they go to. ``_cut``: 0 a whole group, 1 a block with itself, 2 two blocks.
 
     A group of up to ``block[0]`` sets is one task. A larger one is cut by size, so that a set's partners are in its own class of
-    sizes and the two beside it, and by hash into blocks of an eighth of a class, but no more than ``block[1]`` sets.
+    sizes and the two beside it, and by hash into blocks of an eighth of a class, but no more than ``block[1]`` sets. The sizes of
+    these groups are broadcast, a row for each, so that sets are copied where they lie and no task gathers a group.
     """
     base = float(np.log(1 / t))
     rows = live.join(label.select("_v", "_root"), "_v").withColumn("_k", F.floor(F.log(F.col("_n").cast("double")) / base + 1e-9).cast("int"))
     thin = live.select("_v", "_n").join(label.select("_v", "_root"), "_v").withColumn("_k", F.floor(F.log(F.col("_n").cast("double")) / base + 1e-9).cast("int"))
     sizes = thin.groupBy("_root", "_k").agg(F.count("*").alias("_c"))
     large = sizes.groupBy("_root").agg(F.sum("_c").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_k", "_c"))).alias("_by")).filter(F.col("_all") > block[0])
-    rows = rows.join(large.select("_root", "_by"), "_root", "left")
+    rows = rows.join(F.broadcast(large.select("_root", "_by")), "_root", "left")
     m = lambda k: F.ceil(F.coalesce(F.element_at("_by", k), F.lit(0)) / F.least(F.greatest(F.element_at("_by", k) / 8, F.lit(block[0])), F.lit(block[1]))).cast("int")
     own = F.pmod(F.xxhash64("_v"), m(F.col("_k"))).cast("int")
     task = lambda k, i, l, j, second, how: F.struct(k.alias("k"), i.alias("i"), l.alias("l"), j.alias("j"), F.lit(second).alias("second"), how.cast("int").alias("cut"))
@@ -505,6 +513,7 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: tu
     return out.select(doc_id("_d").alias("doc_id"), doc_id("_class").alias("class_id"), "n_links")
 
 
+@released
 def _contracted(frames: Iterator[pd.DataFrame], most: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Edges from each vertex to the least of its component, by pieces of ``most`` edges."""
 

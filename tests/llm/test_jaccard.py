@@ -1,9 +1,10 @@
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from termloom.llm import jaccard
 
@@ -166,6 +167,45 @@ def test_frequencies(monkeypatch):
     assert got == {(*k, h): count[h] for k, s in own.items() for h in s if count[h] > 1} and max(count.values()) > 10
 
 
+def test_a_worker_keeps_no_memory_of_a_task():
+    """What the chunks of a task took goes back to the system, not only to the allocators: running ``malloc_trim`` finds nothing."""
+    import ctypes
+    import os
+    from pathlib import Path
+
+    import pandas as pd
+    import pyarrow as pa
+
+    held = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 500))).encode() for _ in range(4000)]
+    frame = pd.DataFrame({"_d": range(4000), "_x": range(4000), "text": texts})
+    kept = []
+    for task in (jaccard._sketches(3), jaccard._sent(3, 50)):
+        deque(task(iter([frame])), maxlen=0)
+        before = held()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        kept.append(before - held())
+    assert max(kept) < 10, kept
+
+
+def test_a_large_group_is_spread(spark):
+    """Rows of a group are copied to their blocks where they lie; they all met in one task, which spilled and took over 1 GB."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        live = spark.range(4000).selectExpr("id AS _v", "100 + id % 50 AS _n", "1L AS _w", "cast('x' AS binary) AS _grams")
+        label = spark.createDataFrame([(v, 0) for v in range(4000)], "_v bigint, _root bigint")
+        got = jaccard._blocks(live, label, 0.5, (100, 200)).groupBy(F.spark_partition_id()).count().collect()
+        most, total = max(r["count"] for r in got), sum(r["count"] for r in got)
+        assert total > 5 * 4000 and len(got) > 1 and most < 0.8 * total
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_stars_over_batches():
     import pandas as pd
 
