@@ -124,3 +124,49 @@ def _split(values, lengths):
     for n in lengths:
         yield values[at : at + n]
         at += n
+
+
+def test_some_terms_alone(spark, data):
+    """Few terms, many, stems and none: the rows that filtering all postings gives; long batches in small pieces too."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "The of't THE’s thing's o")], docs.schema))
+    many = ["the", "of", "und", "o", "x" * 128] + [f"w{i}" for i in range(30)]
+    for analyzer, terms in ((analysis.simple(), ["the", "of", "lytion"]), (analysis.simple(), many), (analysis.simple(["of"]), ["the", "of"]), (analysis.english(), ["thing", "lytion", "the"]), (analysis.simple(), [])):
+        got = analysis.term_counts(docs, analyzer, terms)
+        want = analysis.term_counts(docs, analyzer).filter(F.col("term").isin(terms))
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_few_terms_need_no_python(spark):
+    plan = analysis.term_counts(tiny(spark, [(1, "red fox")]), analysis.simple(), ["fox"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("regexp_extract_all") == 1
+
+
+def test_a_batch_is_not_held_while_the_next_is_read(spark):
+    """Else a worker keeps two batches."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    held, most = [], 0
+
+    def batches():
+        nonlocal most
+        for k in range(4):
+            gc.collect()
+            most = max(most, sum(r() is not None for r in held))
+            b = pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([["aa", "bb", "aa"]])], names=["doc_id", "tokens"])
+            held.append(weakref.ref(b))
+            yield b
+            del b
+
+    assert sum(x.num_rows for x in analysis._counting(analysis.simple())(batches())) == 4 and most == 0
+
+
+def test_document_frequencies(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for analyzer in (analysis.simple(), analysis.english()):
+        want = analysis.term_counts(docs, analyzer).groupBy("term").agg(F.count("*").alias("df"))
+        got = analysis.doc_frequencies(docs, analyzer)
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
