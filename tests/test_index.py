@@ -291,3 +291,38 @@ def test_metrics(spark, tmp_path, caplog):
     assert list((tmp_path / "n").glob("*.json")) and index.segments().count() == 1 and index.tombstone_segments() is None
     lines = [json.loads(x) for f in (tmp_path / "m").glob("*.json") for x in f.read_text().splitlines()]
     assert {"name": "added_docs", "value": 3.0} in lines
+
+
+def test_any_sizes_are_merged_by_the_stream_of_the_query(spark, tmp_path):
+    """Its generations are one whatever their number of postings."""
+    from dataclasses import replace
+
+    from termloom.queries import EVERY
+
+    index = Index.create(spark, str(tmp_path / "i"), config=EVERY)
+    index.manifest = replace(index.manifest, generations=tuple({"id": f"g{k}", "gen": k, "docs": 10**7, "postings": 10**9 * k, "low": 0, "high": 1} for k in (5, 1)))
+    assert index.candidates() == ["g1", "g5"]
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_merged_from_postings_is_built_anew(spark, docs, tmp_path, monkeypatch, most):
+    """With hidden documents and without, with few of them and with more than are broadcast."""
+    from termloom.index import store
+
+    monkeypatch.setattr(store, "BROADCAST", most)
+    index = Index.create(spark, str(tmp_path / "i"))
+    index.add(docs.filter("doc_id % 3 = 0"))
+    index.add(docs.filter("doc_id % 3 = 1"))
+    read = []
+    monkeypatch.setattr(store, "inverted", lambda df, own=store.inverted: read.append(1) or own(df))
+    index.compact()
+    assert not read
+    index.add(docs.filter("doc_id % 3 = 2 or doc_id % 9 = 0"))
+    read.clear()
+    index.remove(docs.filter("doc_id % 5 = 0"))
+    index.compact()
+    assert bool(read) == (most == 0)
+    want = Searcher.of(docs.filter("doc_id % 5 <> 0")).postings
+    got = index.postings().select("term", "doc_id", "tf", "doc_len")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    assert index.statistics()["deleted"] == 0 and index.statistics()["generations"] == 1
